@@ -58,11 +58,11 @@ class DigestIndex:
 
 def one_each(docs: DataFrame, groups: DataFrame, d: str, key: str) -> DataFrame:
     """The row of docs with each group's keep_id; groups: digest, keep_id, n.  Rows equal in key and text: one stays."""
-    g = groups.select(F.col("digest").alias(d), F.col("keep_id").alias("__keep"), F.col("n").alias("__n"))
-    stay = docs.join(g, docs[d].eqNullSafe(g[d]) & F.col(key).eqNullSafe(F.col("__keep"))).drop(g[d]).drop("__keep")
-    alone = stay.filter(F.col("__n") == 1).drop("__n")
-    copies = stay.filter(F.col("__n") > 1).drop("__n").dropDuplicates([d, key])  # a row for each group, so few
-    return alone.unionByName(copies)
+    k, n = fresh(docs.columns, "group_keep"), fresh(docs.columns, "group_n")
+    stay = docs.join(groups.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("n").alias(n)), d).filter(F.col(key).eqNullSafe(F.col(k)))
+    alone = stay.filter(F.col(n) == 1)
+    copies = stay.filter(F.col(n) > 1).dropDuplicates([d, key])  # a row for each group of copies, so few
+    return alone.unionByName(copies).drop(k, n)
 
 
 def group_equal(rows: DataFrame) -> DataFrame:
@@ -100,12 +100,16 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs less the copies: of equal texts the row with the largest doc_id stays, once.  Only digests are shuffled twice."""
-    d = fresh(docs.columns, "digest")
-    groups = docs.select(digest().alias("digest"), "doc_id").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    with_copies = written(groups.filter(F.col("n") > 1), "copied")
-    losers = with_copies.select(F.col("digest").alias(d), "keep_id")
-    # Texts without a copy never enter the join's shuffle twice: the groups with copies are the small side.
-    marked = docs.withColumn(d, digest()).join(losers, d, "left")
-    stay = marked.filter(F.col("keep_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return stay.drop(d, "keep_id")
+    """docs less the copies: of equal texts the row with the largest doc_id stays, once.
+
+    Only digests are shuffled to find the groups; groups with copies are a written table that the documents look up.
+    """
+    names = docs.columns
+    d, k = fresh(names, "digest"), fresh(names, "keep_id")
+    rows = docs.select(digest().alias("digest"), "doc_id")
+    groups = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "copied")
+    w = fresh(names, "group_n")
+    marked = lookup(docs.withColumn(d, digest()), groups.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("n").alias(w)), d, w, docs.count())
+    alone = marked.filter(F.col(w).isNull()).select(*names)
+    copies = marked.filter(F.col(w).isNotNull() & F.col("doc_id").eqNullSafe(F.col(k))).dropDuplicates([d, "doc_id"]).select(*names)
+    return alone.unionByName(copies)
