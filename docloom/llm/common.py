@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -30,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files are; the folder must be there on every node, or be another one by DOCLOOM_TOKENIZERS."""
+    folder = os.environ.get("DOCLOOM_TOKENIZERS", "/opt/tokenizers")
+    return os.path.join(folder, name)
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """A column name that none of those taken equals, as Spark compares names."""
     low = {x.lower() for x in taken}

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding, simhash_dedup, url_filter
+from . import exact_dedup, sentencepiece_fst, sharding, simhash_dedup, token_count, url_filter
+from .common import tokenizer_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,19 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op5_url_filter, op8_exact_dedup)
+    f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op5_url_filter, op7_sentencepiece_fst, op8_exact_dedup, op9_token_count)
 }
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op8_exact_dedup": exact_dedup.REPORT_SQL}
