@@ -70,3 +70,20 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: int
     at_hot = marked.filter(F.col(seen)).select(*names)
     at_cold = marked.filter(F.col(seen).isNull()).select(*rows.columns).join(cold, key, "left").select(*names)
     return at_hot.unionByName(at_cold)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, max_chars: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, text, label) of at most per_class documents of each class 0 and 1, and how many rows each stands for.
+
+    The sample is the rows with the smallest hash of the id, so it depends on the rows alone.  learn is a condition on
+    doc_id that says which labels may be learnt.  Ids with several labels count with the largest; null labels, ids
+    without a document and texts over max_chars are left out.  Both bounds are parameters of the operators that fit.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = written(known, "labels")
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("label = 1").orderBy(*order).limit(per_class))
+    text = F.col("text").cast("string")
+    sample = docs.select("doc_id", text.alias("text")).filter(F.char_length("text") <= max_chars).join(F.broadcast(ids), "doc_id")
+    return sample, {k: v / min(v, per_class) for k, v in n.items()}

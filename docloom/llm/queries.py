@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sentencepiece_fst, sharding, simhash_dedup, token_count, url_filter
+from . import exact_dedup, language, quality, sentencepiece_fst, sharding, simhash_dedup, token_count, toxicity, url_filter
 from .common import tokenizer_path
 
 
@@ -18,14 +18,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -39,6 +51,17 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op5_url_filter, op7_sentencepiece_fst, op8_exact_dedup, op9_token_count)
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_quality_compression,
+        op3_simhash_near_dedup,
+        op4_toxicity_fm,
+        op5_url_filter,
+        op6_language_id,
+        op7_sentencepiece_fst,
+        op8_exact_dedup,
+        op9_token_count,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op8_exact_dedup": exact_dedup.REPORT_SQL}
