@@ -72,6 +72,32 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: int
     return at_hot.unionByName(at_cold)
 
 
+#: A table of keys is broadcast up to so many rows, counted first; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def text_key(text: str = "text"):
+    """A 64-bit hash of the text, that tells rows apart which share an id; null counts as empty."""
+    return F.xxhash64(text_or_empty(text))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows whose (doc_id, text_key) is in ids (columns id, t); null ids match null ids.
+
+    Texts stay where they are while the list is small; a list over BROADCAST_ROWS is met by a shuffle.
+    """
+    listed = written(ids.select("id", "t").distinct(), "dropped-ids")
+    i, t = fresh(docs.columns, "dropped_id"), fresh(docs.columns, "dropped_t")
+    listed = small(listed.select(F.col("id").alias(i), F.col("t").alias(t)), listed.count())
+    k = fresh(docs.columns, "text_key")
+    return docs.withColumn(k, text_key()).join(listed, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(k) == F.col(t)), "left_anti").drop(k)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, max_chars: int) -> tuple[DataFrame, dict[int, float]]:
     """(doc_id, text, label) of at most per_class documents of each class 0 and 1, and how many rows each stands for.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, lookup, shared_dir, text_or_empty, written
+from .common import BROADCAST_ROWS, fresh, lookup, shared_dir, text_or_empty, written
 
 
 def digest(text: str = "text"):
@@ -100,16 +100,26 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs less the copies: of equal texts the row with the largest doc_id stays, once.
+    """docs less the copies: of equal texts the row with the largest doc_id stays, once, with all its columns.
 
-    Only digests are shuffled to find the groups; groups with copies are a written table that the documents look up.
+    Only (doc_id, digest) pairs are shuffled, merged before the shuffle; then each document looks its digest up in the
+    table of groups that have copies, which is broadcast while it is small, else met as `lookup` does.  Null and empty
+    texts are equal; null ids lose to others; of rows that repeat id and text one stays, which one is open.
     """
     names = docs.columns
-    d, k = fresh(names, "digest"), fresh(names, "keep_id")
-    rows = docs.select(digest().alias("digest"), "doc_id")
-    groups = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "copied")
-    w = fresh(names, "group_n")
-    marked = lookup(docs.withColumn(d, digest()), groups.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("n").alias(w)), d, w, docs.count())
-    alone = marked.filter(F.col(w).isNull()).select(*names)
-    copies = marked.filter(F.col(w).isNotNull() & F.col("doc_id").eqNullSafe(F.col(k))).dropDuplicates([d, "doc_id"]).select(*names)
-    return alone.unionByName(copies)
+    d, k, n, r = (fresh(names, x) for x in ("digest", "group_keep", "group_n", "group_repeats"))
+    pairs = docs.select(digest().alias(d), F.col("doc_id").alias(k)).groupBy(d, k).agg(F.count(F.lit(1)).alias(n))
+    groups = pairs.groupBy(d).agg(F.sum(n).alias(n), F.max(F.struct(k, F.col(n).alias("repeats"))).alias("x"))
+    groups = written(groups.filter(F.col(n) > 1).select(d, n, F.col(f"x.{k}").alias(k), F.col("x.repeats").alias(r)), "copied")
+    found = groups.agg(F.count(F.lit(1)), F.max(r)).first()
+    marked = docs.withColumn(d, digest())
+    if found[0] <= BROADCAST_ROWS:
+        marked = marked.join(F.broadcast(groups), d, "left")
+    else:
+        marked = lookup(marked, groups, d, n, docs.count())
+    stay = marked.filter(F.col(n).isNull() | F.col("doc_id").eqNullSafe(F.col(k)))
+    if (found[1] or 1) == 1:
+        return stay.select(*names)
+    once = stay.filter(F.coalesce(F.col(r), F.lit(1)) == 1)
+    again = stay.filter(F.col(r) > 1).dropDuplicates([d, "doc_id"])
+    return once.select(*names).unionByName(again.select(*names))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, quality, sentencepiece_fst, sharding, simhash_dedup, token_count, toxicity, url_filter
+from . import decontamination, exact_dedup, language, quality, sentencepiece_fst, sharding, simhash_dedup, token_count, toxicity, url_filter
 from .common import tokenizer_path
 
 
@@ -50,6 +50,10 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "similarity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_sentencepiece_fst,
         op8_exact_dedup,
         op9_token_count,
+        op10_decontamination,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op8_exact_dedup": exact_dedup.REPORT_SQL}

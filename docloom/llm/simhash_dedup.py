@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import fresh, lookup, written
+from .common import lookup, text_key, without, written
 from .components import components
 
 RADIUS, SHINGLE = 3, 3
@@ -49,7 +49,7 @@ def _votes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a long.
+    """doc_id, the text's key t, and the fingerprint as a long.
 
     A-Z is lower-cased, words are runs of anything but ASCII white space, shingles three words (all words, if fewer) and
     each shingle as often as it occurs; a bit is set if over half of the shingles' XXH64 hashes (seed 42) have it.  Null,
@@ -58,11 +58,12 @@ def fingerprints(docs: DataFrame, out: str = "fp", shingle: int = SHINGLE) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", out])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "t", out])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {out} bigint")
+    rows = docs.select("doc_id", text_key().alias("t"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, t bigint, {out} bigint")
 
 
 def sliced_links(fps: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -219,7 +220,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp, component_id, the smallest doc_id reachable over links within radius.
+    """One row per document: doc_id, t (its text's key), fp, component_id, the smallest doc_id reachable over links within radius.
 
     Equal fingerprints are one node, so a group of copies costs one row in the search.  Null ids are ignored when the
     smallest is taken; a component of null ids alone has a null id.  Repeated rows keep a row each.
@@ -242,9 +243,8 @@ def near_report(docs: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame) -> DataFrame:
     """docs less all but one document of each group of near copies; the one with the smallest doc_id stays.
 
-    Texts without a word (null, empty, blank) are near copies of each other.  Rows that repeat an id that stays all stay
-    (exact dedup comes first in the pipeline); null ids stay only where a whole group has none.
+    Texts without a word (null, empty, blank) are near copies of each other.  Rows that repeat both id and text are one
+    document and stay or go together; a null id goes unless its whole group has none.
     """
-    c, k = fresh(docs.columns, "component_id"), fresh(docs.columns, "doc_key")
-    found = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(k)).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(k)), "left_semi").drop(c)
+    found = near_groups(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "t")
+    return without(docs, found)

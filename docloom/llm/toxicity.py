@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fresh, labelled_sample
+from .common import crc_of_id, labelled_sample
 
 #: Terms are hashed to BUCKETS; words and their first 4 and 6 letters are terms.
 BUCKETS, PREFIXES = 1 << 20, (4, 6)
@@ -197,15 +197,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs less those predicted toxic; rows go through one by one, with all their columns."""
     model = learn(docs, labels, crc_of_id() % 4 != 2)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    p = fresh(docs.columns, "toxic_score")
-
-    @F.pandas_udf("double")
-    def judged(texts: Iterator) -> Iterator:
-        import pandas as pd
+    at = docs.columns.index(docs.select("text").columns[0])
 
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for t in texts:
-            yield pd.Series(_sigmoid(np.array([scorer.margin(x) for x in t], float)))
+        for b in batches:
+            p = _sigmoid(np.array([scorer.margin(t.as_py()) for t in b.column(at)], float))
+            yield b.filter(pa.array(p < THRESHOLD))
 
-    judged.__annotations__ = {}
-    return docs.withColumn(p, judged(F.col("text").cast("string"))).filter(F.col(p) < THRESHOLD).drop(p)
+    return docs.mapInArrow(judged, docs.schema)
