@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_key, text_or_empty, written
+from .common import small, text_key, text_or_empty, without, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Windows and items within RADIUS bits are compared exactly.  At similarity 0.8 the expected distance is about 10 of 64
