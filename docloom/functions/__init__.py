@@ -1 +1 @@
-
+"""Scalar functions: numbers from values, hashes, keys, labels."""
