@@ -1 +1,5 @@
+"""Sources: JSON lines."""
 
+from .json_lines import count_lines, read_documents, read_lines
+
+__all__ = ["count_lines", "read_documents", "read_lines"]
