@@ -44,6 +44,11 @@ def listed(value: object) -> list | None:
     return list(value) if isinstance(value, (list, tuple, set, frozenset)) else None
 
 
+def bound_of(value: object) -> float | int | None:
+    """A bound of a comparison; whole numbers stay exact, for columns of whole numbers."""
+    return value if type(value) is int and number_of(value) is not None else number_of(value)
+
+
 def compile_leaf(op: str, value: object, field) -> Pair:
     """The pair of one operator on a resolved field."""
     op = op.upper()
@@ -52,11 +57,11 @@ def compile_leaf(op: str, value: object, field) -> Pair:
     if op == "NEQ":
         return field.neq(value)
     if op in ("GT", "GTE", "LT", "LTE"):
-        c = number_of(value)
+        c = bound_of(value)
         return never() if c is None else field.compare(op, c)
     if op in ("INSIDE", "OUTSIDE", "BETWEEN"):
         bounds = listed(value)
-        if bounds is None or len(bounds) != 2 or None in (ends := [number_of(x) for x in bounds]):
+        if bounds is None or len(bounds) != 2 or None in (ends := [bound_of(x) for x in bounds]):
             return never()
         low, high = ends
         a, b = {"INSIDE": ("GT", "LT"), "BETWEEN": ("GTE", "LT"), "OUTSIDE": ("LT", "GT")}[op]

@@ -104,13 +104,13 @@ class VariantValue:
         found = F.exists(own, lambda x: F.coalesce(VariantValue(x).eq(c)[0], F.lit(False)))
         return _null_safe(F.when(self.tag.startswith("ARRAY"), found).otherwise(F.lit(False)))
 
-    def compare(self, op: str, c: float) -> Pair:
+    def compare(self, op: str, c: float | int) -> Pair:
         return compare(self.number(), op, c)
 
 
 def compare(n: Column, op: str, c: float) -> Pair:
     """A comparison of a double that is null where there is no number, and its complement."""
-    x = F.lit(c)
+    x = F.lit(float(c))
     true = {"GT": n > x, "GTE": n >= x, "LT": n < x, "LTE": n <= x}[op]
     false = {"GT": n <= x, "GTE": n < x, "LT": n >= x, "LTE": n > x}[op]
     return true, n.isNull() | false
@@ -189,7 +189,7 @@ class TypedValue:
             return never()
         return _null_safe(F.exists(self.col, lambda x: F.coalesce(TypedValue(x, self.type.elementType).eq(c)[0], F.lit(False))))
 
-    def compare(self, op: str, c: float) -> Pair:
+    def compare(self, op: str, c: float | int) -> Pair:
         if self.kind in ("deep", "nil"):
             return never()
         if self.kind == "str":

@@ -1,0 +1,194 @@
+import gzip
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from docloom import cli
+from docloom.operators import DocStore, IndexExists, IndexNotFound, TableNotFound, TypedTable
+from docloom.operators.files import Conflict
+from docloom.plans import And, Cond, Not
+from docloom.sources import count_lines, read_documents
+from docloom.streaming import stream_lines_into
+
+NAMES = "alice bob chelsie asfg hgfd qwer zxcv mnbv".split()
+
+
+def rows(spark, docs, table="v_P"):
+    return spark.createDataFrame([(table, i, None if d is None else json.dumps(d)) for i, d in docs], "table_name string, id string, data string")
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return DocStore(spark, str(tmp_path / "db"))
+
+
+@pytest.fixture
+def people(store, spark):
+    store.create_table("v_P", ["field1", "name"])
+    docs = [(f"key{i + 1}", {"field1": (i + 1) / 10, "name": n} | ({"other": "x", "isEven": True} if not i else {})) for i, n in enumerate(NAMES)]
+    store.bulk_load(rows(spark, docs))
+    return store
+
+
+def ids(df, col="_id"):
+    return sorted(r[col] for r in df.collect())
+
+
+def test_open_create_reopen(spark, tmp_path):
+    root = str(tmp_path / "db")
+    with pytest.raises(FileNotFoundError):
+        DocStore.open(spark, root)
+    DocStore(spark, root).create_table("v_T", ["a", "b"])
+    again = DocStore.open(spark, root)
+    assert again.tables() == ["v_T"] and again.table("v_T").column_defs() == ["a", "b"]
+    assert again.create_table("v_T", ["c"]).columns == ["a", "b"] and again.table("v_T").scan().count() == 0
+
+
+def test_scan_scenarios(people):
+    t = people.table("v_P")
+    assert ids(t.scan_ids(Cond("name", "EQ", "alice"))) == ["key1"]
+    assert ids(t.scan(Cond("field1", "EQ", 0.2))) == ["key2"]
+    assert t.scan(Cond("field1", "GT", 0.2)).count() == 6
+    assert t.scan(And(Cond("other", "EQ", None), Not(Cond("_id", "WITHIN", ["key2"])))).count() == 6
+    people.delete("v_P", ["key4"])
+    assert ids(people.table("v_P").scan_ids(Cond("name", "EQ", "mnbv"))) == ["key8"]
+    assert people.table("v_P").scan().count() == 7
+
+
+def test_gets_and_keys(people):
+    t = people.table("v_P")
+    assert json.loads(t.get("key1").select(F.to_json("doc")).first()[0])["other"] == "x" and t.get("nope").count() == 0
+    got = t.get_many(["key3", "nope", "key1", "key3"]).collect()
+    assert [(r["_id"], r["error"] is None) for r in got] == [("key3", True), ("nope", False), ("key1", True), ("key3", True)]
+    assert [r[0] for r in t.keys().collect()] == [f"key{i}" for i in range(1, 9)]
+    inner = json.loads(t.scan_json(Cond("_id", "EQ", "key2")).first()["json"])
+    assert inner == {"_id": "key2", "field1": 0.2, "name": "bob"}
+
+
+def test_delete_every_third(store, spark):
+    store.bulk_load(rows(spark, [(f"key_{i}", {"id": f"key_{i}", "data": i}) for i in range(100)]))
+    keys = [r[0] for r in store.table("v_P").keys().collect()]
+    assert keys == sorted(keys) and len(keys) == 100
+    store.delete("v_P", keys[::3])
+    assert store.table("v_P").keys().count() == 66
+    stats = store.stats("v_P").first()
+    assert (stats["total"], stats["deleted"], stats["live"]) == (100, 34, 66)
+    assert store.compact("v_P") and store.stats("v_P").first()["total"] == 66 and not store.compact("v_P")
+    store.bulk_load(rows(spark, [("key_0", {"again": True})]))  # a deleted id may come back
+    assert store.table("v_P").keys().count() == 67
+
+
+def test_insert_if_absent_versions_and_rejects(store, spark):
+    store.bulk_load(rows(spark, [("a", {"v": 1})]))
+    source = spark.createDataFrame(
+        [("v_P", "a", '{"v":2}', 0), ("v_P", "b", '{"v":1}', 1), ("v_P", "b", '{"v":2}', 2), ("e_Q", "a", "[1]", 3), ("v_P", None, "{}", 4), ("x", "c", "{}", 5), ("v_P", "d", '{"v":', 6), ("v_P", "n", None, 7)],
+        "table_name string, id string, data string, position long",
+    )
+    done = store.bulk_load(source, order="position")
+    assert done.inserted == 4 and done.skipped() == 1
+    assert sorted(r["reason"][:7] for r in done.rejected.collect()) == ["a table", "malform", "no id"]
+    t = store.table("v_P")
+    assert ids(t.scan_ids()) == ["a", "b", "b", "n"]
+    latest = {r["_id"]: r["j"] for r in t.versions("latest").select("_id", F.to_json("doc").alias("j")).collect()}
+    assert latest == {"a": '{"v":1}', "b": '{"v":2}', "n": None}
+    assert store.tables() == ["e_Q", "v_P"] and store.ids_for_label("e_Q").count() == 1 and store.ids_for_label("e_R").count() == 0
+    store.insert("v_P", spark.createDataFrame([("a", '{"v":9}')], "_id string, doc string"))
+    assert store.table("v_P").get("a").select(F.variant_get("doc", "$.v", "int")).first()[0] == 9
+    assert store.compact("v_P", force=True, versions="latest") and ids(store.table("v_P").scan_ids()) == ["a", "b", "n"]
+
+
+def test_empty_load_and_odd_table_names(store, spark):
+    assert store.bulk_load(rows(spark, [])).inserted == 0 and store.tables() == []
+    store.bulk_load(rows(spark, [("1", {"a": 1})], "v_a b/c=d%"))
+    assert store.tables() == ["v_a b/c=d%"] and store.table("v_a b/c=d%").scan().count() == 1
+
+
+def test_catalog(store):
+    store.create_table("v_A", ["x", "y"])
+    store.create_table("e_A", ["y"])
+    store.create_table("v_AB", [])
+    assert sorted(r[0] for r in store.column_names().collect()) == ["x", "y"] and store.column_names(dedupe=False).count() == 3
+    assert ids(store.labels(), "label") == ["A", "AB"] and ids(store.labels(edges=True, strip=False), "label") == ["e_A"]
+    store.drop("v_A")
+    with pytest.raises(TableNotFound):
+        store.table("v_A")
+    with pytest.raises(TableNotFound):
+        store.drop("v_A")
+    with pytest.raises(ValueError):
+        store.create_table("x")
+
+
+def test_two_writers(store):
+    seen, state = store.catalog.load()
+    store.catalog.commit(seen, state)
+    with pytest.raises(Conflict):
+        store.catalog.commit(seen, state)
+
+
+def test_indexes(people, spark):
+    people.add_index("v_P", "name")
+    people.add_index("v_P", "name2")
+    with pytest.raises(IndexExists):
+        people.add_index("v_P", "name")
+    people.bulk_load(rows(spark, [("1", {"name": "alice"}), ("2", {"name": None}), ("3", {"x": 1})], "v_PQ"))
+    people.add_index("v_PQ", "name")
+    people.add_index("e_New", "name")  # a table that isn't there yet
+    assert ids(people.ids_by_label_field("v_P", "name", "alice"), "row_id") == ["key1"]
+    assert ids(people.ids_by_field("name", "alice"), "row_id") == ["1", "key1"]
+    assert ids(people.ids_by_field("name", None), "row_id") == ["2", "3"]
+    assert people.index_rows("v_P", "name2").count() == 8
+    assert people.ids_by_label_field("v_P", "name", ["bob", "qwer"], "WITHIN").count() == 2
+    assert ids(people.table("v_P").fetch(people.ids_by_label_field("v_P", "name", "bob", "NEQ"))) == ["key1", *[f"key{i}" for i in range(3, 9)]]
+    people.store_index("v_P", "name")
+    assert ids(people.ids_by_label_field("v_P", "name", "alice"), "row_id") == ["key1"]
+    people.bulk_load(rows(spark, [("new", {"name": "alice"})]))  # the stored index is stale: the view serves
+    assert ids(people.ids_by_label_field("v_P", "name", "alice"), "row_id") == ["key1", "new"]
+    people.delete_row_field("v_P", "name", "key1")
+    people.delete_row_field("v_P", "name", "absent")
+    assert ids(people.ids_by_label_field("v_P", "name", "alice"), "row_id") == ["new"]
+    assert people.table("v_P").get("key1").count() == 1
+    assert [tuple(r) for r in people.indexes().collect()] == [("P", "name"), ("P", "name2"), ("PQ", "name"), ("e_New", "name")]
+    people.remove_index("v_P", "name")
+    with pytest.raises(IndexNotFound):
+        people.ids_by_label_field("v_P", "name", "alice")
+    assert people.ids_by_label_field("v_P", "name2", None).count() == 9
+    with pytest.raises(TableNotFound):
+        people.delete_row_field("v_Z", "name", "1")
+
+
+def test_typed_table_in_place(spark, sf):
+    t = TypedTable(spark.read.parquet(f"{sf}/customer.parquet"), "c_custkey", "v_customer")
+    n = t.scan(And(Cond("_label", "EQ", "customer"), Cond("c_custkey", "LTE", 10))).count()
+    assert n == t.rows.filter("c_custkey <= 10").count() > 0 and t.scan_ids(Cond("nope", "EQ", None)).count() == t.rows.count()
+    want = spark.createDataFrame([(1,), (-5,)], "_id bigint")
+    assert sorted((r["_wanted"], r["error"]) for r in t.get_many(want).collect()) == [(-5, "no row -5"), (1, None)]
+    assert t.documents().scan(Cond("c_custkey", "EQ", 3)).count() == 1
+
+
+def test_lines_and_cli(spark, store, tmp_path, capsys):
+    plain, packed = tmp_path / "a.json", tmp_path / "b.json.gz"
+    plain.write_text('{"_id":"1","n":1}\n\nnot json\n{"_id":"2"}')
+    packed.write_bytes(gzip.compress(b'{"_id":"3"}\n'))
+    assert count_lines(spark, str(plain)) == 4
+    done = store.bulk_load(read_documents(spark, [str(plain), str(packed)], "v_L"))
+    assert done.inserted == 3 and done.rejected.count() == 1
+    root = store.files.root
+    assert cli.main(["tables", root], spark) == 0 and capsys.readouterr().out == "v_L\n"
+    assert cli.main(["keys", root, "v_L"], spark) == 0 and capsys.readouterr().out.split() == ["1", "2", "3"]
+    assert cli.main(["get", root, "v_L", "9", "1"], spark) == 0
+    out = capsys.readouterr()
+    assert json.loads(out.out) == {"_id": "1", "n": 1} and "9" in out.err
+    assert cli.main(["get", root, "v_M", "1"], spark) == 1 and cli.main(["tables", root + "x"], spark) == 1 and cli.main([], spark) == 2
+
+
+def test_streamed_lines(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text('{"_id":"1"}\n{"_id":"2"}\n')
+    for _ in range(2):
+        stream_lines_into(store, str(folder), "v_S", str(tmp_path / "progress")).awaitTermination()
+        assert ids(store.table("v_S").scan_ids()) == ["1", "2"]
+    (folder / "2.json").write_text('{"_id":"2","late":true}\n{"_id":"3"}\n')
+    stream_lines_into(store, str(folder), "v_S", str(tmp_path / "progress")).awaitTermination()
+    assert ids(store.table("v_S").scan_ids()) == ["1", "2", "3"]
