@@ -42,10 +42,15 @@ def _needed(m: Column | str) -> str:
 
 
 def _items(benchmark: DataFrame, k_of: int) -> DataFrame:
-    """item_id, item (its shingles' hashes, repeats included), m; items of k_of words at least, or exactly k_of if fewer than SHINGLE."""
-    b = _bound(benchmark.select("item_id", F.col("text").cast("string").alias("text")), ["item_id"], words=words(F.col("text")))
+    """item_id, ik (a key of id and text, never null), item (its shingles' hashes, repeats included), m.
+
+    Items of SHINGLE words or more, or of exactly k_of if fewer.
+    """
+    ik = F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("\x00null")), F.col("text"))
+    b = benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("ik", ik).dropDuplicates(["ik"])
+    b = _bound(b, ["item_id", "ik"], words=words(F.col("text")))
     b = b.filter(F.size("words") >= SHINGLE if k_of == SHINGLE else F.size("words") == k_of)
-    return b.select("item_id", _hashed(k_of).alias("item")).withColumn("m", F.size("item"))
+    return b.select("item_id", "ik", _hashed(k_of).alias("item")).withColumn("m", F.size("item"))
 
 
 def _fingerprints(windows: DataFrame, by: list[str], hashes: str, longest: int) -> DataFrame:
@@ -115,7 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", radius: in
 
 def _leaks(docs: DataFrame, items: DataFrame, key: str, k: int, radius: int) -> DataFrame:
     spark = docs.sparkSession
-    index = written(items.select("item_id", "m", F.explode(F.array_distinct("item")).alias("h")), "benchmark-shingles")
+    index = written(items.select("ik", "m", F.explode(F.array_distinct("item")).alias("h")), "benchmark-shingles")
     n_index, sizes = index.count(), sorted(r[0] for r in items.select("m").distinct().collect())
     rows = docs.select(F.col(key).alias("k"), text_or_empty().alias("text")).select("k", "text", text_key().alias("t"))
     rows = _bound(_bound(rows, ["k", "t"], words=words(F.col("text"))), ["k", "t"], h=_hashed(k))
@@ -134,7 +139,7 @@ def _leaks(docs: DataFrame, items: DataFrame, key: str, k: int, radius: int) ->
     dense_rows = written(rows.filter(F.size("p") > 0).filter(dense).dropDuplicates(["k", "t"]), "dense-documents")
 
     shared = dense_rows.select("k", "t", F.size("h").alias("d"), F.explode("p").alias("pos"), "h").select("k", "t", "d", "pos", F.expr("h[pos]").alias("h"))
-    shared = shared.join(small(index, n_index), "h").groupBy("k", "t", "d", "item_id", "m").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    shared = shared.join(small(index, n_index), "h").groupBy("k", "t", "d", "ik", "m").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     need = f"least({_needed('m')}, {_short('m')})"
     starts = F.expr(
         f"concat(filter(p, (x, i) -> x <= d - m AND get(p, i + {need} - 1) < x + m), "
@@ -147,15 +152,15 @@ def _leaks(docs: DataFrame, items: DataFrame, key: str, k: int, radius: int) ->
     by = ["k", "t", "m", "start"]
     marked = _bound(_fingerprints(slices, by, "own", longest), [*by, "fp"], b=_blocks("fp", radius))
     probes = marked.select(*by, "fp", "b", F.posexplode("b").alias("block", "value"))
-    of_items = _bound(_fingerprints(items, ["item_id", "m"], "item", longest), ["item_id", "m", "fp"], b=_blocks("fp", radius))
-    of_items = of_items.select("item_id", "m", F.col("fp").alias("fp_"), F.col("b").alias("b_"), F.posexplode("b").alias("block", "value"))
+    of_items = _bound(_fingerprints(items, ["ik", "m"], "item", longest), ["ik", "m", "fp"], b=_blocks("fp", radius))
+    of_items = of_items.select("ik", "m", F.col("fp").alias("fp_"), F.col("b").alias("b_"), F.posexplode("b").alias("block", "value"))
     met = probes.join(small(of_items, items.count() * (radius + 1)), ["m", "block", "value"])
     # A pair that meets in several blocks counts in the first of them only.
     first = F.expr("NOT exists(sequence(0, size(b) - 1), i -> i < block AND b[i] = b_[i])")
-    pairs = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= radius).filter(first).select(*by, "item_id")
+    pairs = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= radius).filter(first).select(*by, "ik")
 
     checked = pairs.join(slices.withColumnRenamed("k", "k_"), F.col("k").eqNullSafe(F.col("k_")) & (pairs["t"] == slices["t"]) & (pairs["m"] == slices["m"]) & (pairs["start"] == slices["start"]))
-    checked = checked.select(pairs["k"], pairs["t"], pairs["item_id"], pairs["start"], "own").join(small(items.select("item_id", "item"), items.count()), "item_id")
+    checked = checked.select(pairs["k"], pairs["t"], pairs["ik"], pairs["start"], "own").join(small(items.select("ik", "item_id", "item"), items.count()), "ik")
     both = F.expr("aggregate(array_distinct(item), 0, (n, x) -> n + least(size(filter(item, y -> y = x)), size(filter(own, y -> y = x))))")
     checked = checked.select(F.col("k").alias(key), "t", "item_id", "start", F.size("item").alias("a"), F.size("own").alias("b"), both.alias("both"))
     checked = checked.withColumn("similarity", F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).filter(F.col("similarity") >= SIMILARITY - 1e-12)

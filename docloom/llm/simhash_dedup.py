@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import lookup, text_key, without, written
+from .common import lookup, small, text_key, without, written
 from .components import components
 
 RADIUS, SHINGLE = 3, 3
 #: A bucket with more fingerprints is split by further bits before it is compared.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS, LEVELS = 20_000, 8
 #: Pairs of a fingerprint and a block of 64 that are compared at a time.
 STEP = 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -141,56 +141,42 @@ def _bucket_stars(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.
     return fps[linked], fps[parent[linked]]
 
 
-def _bands(free: list[tuple[int, int]], radius: int) -> list:
-    """(own bits, bits left) for each of radius + 1 parts of the free bit ranges (shift, width)."""
-    positions = [s + i for s, w in free for i in range(w)]
-    size, out = len(positions) / (radius + 1), []
-    for k in range(radius + 1):
-        own = positions[round(k * size) : round((k + 1) * size)]
-        out.append((_ranges(own), _ranges([p for p in positions if p not in set(own)])))
+def _divisions(radius: int) -> list[list[int]]:
+    """Ways to divide the 64 bits into radius + 1 parts, as masks: first by neighbouring bits, then by fixed shuffles."""
+    out = []
+    for level in range(LEVELS):
+        bits = list(range(64))
+        if level:
+            np.random.default_rng(level).shuffle(bits)
+        edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
+        masks = [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:])]
+        out.append([m - (1 << 64) if m >> 63 else m for m in masks])
     return out
 
 
-def _ranges(bits: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for b in bits:
-        if out and out[-1][0] + out[-1][1] == b:
-            out[-1] = (out[-1][0], out[-1][1] + 1)
-        else:
-            out.append((b, 1))
-    return out
-
-
-def _value(fp, ranges: list[tuple[int, int]]):
-    """A hash of the bits in these ranges.  Should two values share a hash, their buckets merge, which loses nothing."""
-    return F.xxhash64(*[F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) if w < 64 else fp for s, w in ranges])
-
-
 def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (a, b) that join all fingerprints (column fp, distinct) within radius, directly or through others.
 
-    Two that differ in at most r bits agree on one of r + 1 parts of the bits, so each part's value names a bucket.  A
-    bucket over bucket_rows is split by parts of its remaining bits, which by the same argument loses nothing, until all
-    are small (or no bits are left to split by); so no task holds an unbounded bucket.  Within a bucket each fingerprint
-    gives at most one edge, to the root of its component there.
+    Two that differ in at most r bits agree on one of r + 1 parts of the bits, however these are divided; so each part's
+    value names a bucket.  A bucket over bucket_rows is divided again by another division, which by the same argument
+    loses nothing; after LEVELS divisions hardly a bit is left in which the distinct fingerprints of one bucket differ.
+    Should two keys share a hash, their buckets merge, which loses nothing either.  Within a bucket each fingerprint gives
+    at most one edge, to the root of its component there.
     """
-    ready, level = [], [(fps.select("fp", F.lit(0).cast("long").alias("bucket")), [(0, 64)])]
-    while level:
-        split = []
-        for df, free in level:
-            for k, (own, rest) in enumerate(_bands(free, radius)):
-                split.append((df.select("fp", F.xxhash64("bucket", F.lit(k), _value(F.col("fp"), own)).alias("bucket")), rest))
-        last = [df for df, rest in split if sum(w for _, w in rest) < 4 * (radius + 1)]
-        more = [(df, rest) for df, rest in split if sum(w for _, w in rest) >= 4 * (radius + 1)]
-        ready, level = ready + last, []
-        if more:
-            big = written(_union([df for df, _ in more]).groupBy("bucket").count().filter(F.col("count") > bucket_rows).select("bucket"), "big-buckets")
-            if big.isEmpty():
-                ready += [df for df, _ in more]
-            else:
-                ready += [df.join(big, "bucket", "left_anti").select("fp", "bucket") for df, _ in more]
-                level = [(df.join(big, "bucket", "left_semi").select("fp", "bucket"), rest) for df, rest in more]
-    edges = _union(ready)
+    ready, level = [], fps.select("fp", F.lit(0).cast("long").alias("bucket"))
+    for n, masks in enumerate(_divisions(radius)):
+        keys = [F.xxhash64("bucket", F.lit(n), F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)]
+        split = level.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+        big = written(split.groupBy("bucket").count().filter(F.col("count") > bucket_rows).select("bucket"), "big-buckets")
+        n_big = big.count()
+        if not n_big or n == LEVELS - 1:
+            ready.append(split)
+            break
+        ready.append(split.join(small(big, n_big), "bucket", "left_anti").select("fp", "bucket"))
+        level = written(split.join(small(big, n_big), "bucket", "left_semi").select("fp", "bucket"), "big-bucket-rows")
+    edges = ready[0]
+    for x in ready[1:]:
+        edges = edges.unionByName(x)
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -212,13 +198,6 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
     return edges.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(stars, "a bigint, b bigint")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, t (its text's key), fp, component_id, the smallest doc_id reachable over links within radius.
 
