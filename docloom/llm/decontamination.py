@@ -93,7 +93,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", radius: in
 
     Words are lower-case runs of letters and digits, shingles five words (an item of fewer is one shingle).  A document
     holds an item if a window of the item's size has a weighted Jaccard similarity of shingles, each weighted by how often
-    it occurs, of 0.8 or more; start and similarity are those of its best window, the first of equals.
+    it occurs, of 0.8 or more.  similarity is that of the best window; start is the first of the best windows that begin
+    with a shared shingle or end with the document.
 
     1. Documents are cut into shingle hashes, and the positions of hashes that the benchmark has are kept.  A document
        whose windows all hold too few of them for any item's size is left out there; nothing is shuffled for it.
@@ -129,8 +130,8 @@ def _leaks(docs: DataFrame, items: DataFrame, key: str, k: int, radius: int) ->
         rows = _bound(rows, ["k", "t", "h"], p=F.expr(f"filter(sequence(0, size(h) - 1), i -> size(h) > 0 AND h[i] IN ({own}))"))
     else:  # as positions by row: the hashes meet the index in a join
         at = rows.select("k", "t", F.posexplode("h").alias("i", "x")).join(index.select(F.col("h").alias("x")).distinct(), "x", "left_semi")
-        at = at.groupBy("k", "t").agg(F.sort_array(F.collect_set("i")).alias("p"))
-        rows = rows.join(at, rows["k"].eqNullSafe(at["k"]) & (rows["t"] == at["t"])).select(rows["k"], rows["t"], "h", "p")
+        at = at.groupBy(F.col("k").alias("k_"), F.col("t").alias("t_")).agg(F.sort_array(F.collect_set("i")).alias("p"))
+        rows = rows.join(at, F.col("k").eqNullSafe(F.col("k_")) & (F.col("t") == F.col("t_"))).select("k", "t", "h", "p")
     ms, longest = ", ".join(map(str, sizes)), max(sizes, default=1)
     dense = F.expr(
         f"exists(array({ms}), m -> size(p) >= least({_needed('m')}, {_short('m')}) AND exists(sequence(0, size(p) - 1), i -> "
