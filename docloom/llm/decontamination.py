@@ -15,12 +15,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 24
 #: Up to so many shingles of the benchmark are tested in place, more of them by a join.
 IN_PLACE = 200_000
-WORD_BREAK = r"[^\\p{L}\\p{N}]+"
+WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK.replace("\\\\", "\\")), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
 def _bound(df: DataFrame, keep: list[str], **exprs: Column) -> DataFrame:

@@ -100,7 +100,7 @@ class Transducer:
         return known
 
     def halves(self, piece: str) -> tuple[str, str] | None:
-        """The two parts that the last merge joined, None for a character, and () is never returned for proper pieces."""
+        """The two parts that the last merge joined; None for a character."""
         if len(piece) == 1:
             return None
         parts, score = list(piece), self.score
