@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
+from . import similar
 from .common import lookup, small, text_key, without, written
 from .components import components
 
@@ -206,7 +207,25 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     rows = written(fingerprints(docs), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
-    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return _named(rows, nodes, links(nodes.select("fp"), radius))
+
+
+def similar_groups(docs: DataFrame, shingle: int = similar.SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
+    """As near_groups, but documents are linked if the Jaccard similarity of their sets of shingles is similarity or more.
+
+    fp is a key of the set.  All such pairs are found (see `similar`): no SimHash radius would be sure to hold them.
+    """
+    rows = written(similar.prefixes(docs, shingle, similarity), "shingle-prefixes")
+    own = [F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix")]
+    nodes = written(rows.groupBy("fp").agg(*own), "shingle-nodes")
+    pairs = written(similar.candidates(nodes, similarity), "shingle-pairs")
+    rows = rows.select("doc_id", "t", "fp")
+    return _named(rows, nodes.select("fp", "least", "n"), similar.similar(docs, rows, pairs, shingle, similarity))
+
+
+def _named(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (doc_id, t, fp) with the component_id of their node (fp, least, n) by the edges (a, b) of nodes."""
+    roots = components(edges).withColumnRenamed("node", "fp")
     joined = nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     tops = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("root", "component_id")
     named = written(joined.join(tops, "root", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "fingerprint-components")
@@ -222,8 +241,9 @@ def near_report(docs: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame) -> DataFrame:
     """docs less all but one document of each group of near copies; the one with the smallest doc_id stays.
 
-    Texts without a word (null, empty, blank) are near copies of each other.  Rows that repeat both id and text are one
-    document and stay or go together; a null id goes unless its whole group has none.
+    Near copies have a Jaccard similarity of five-word shingles of 0.8 or more, directly or through others; op3's own rule
+    (near_groups) binds its query alone.  Texts without a word (null, empty, blank) are near copies of each other.  Rows
+    that repeat both id and text are one document and stay or go together; a null id goes unless its whole group has none.
     """
-    found = near_groups(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "t")
+    found = similar_groups(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "t")
     return without(docs, found)
