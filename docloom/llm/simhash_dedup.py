@@ -68,11 +68,12 @@ def fingerprints(docs: DataFrame, out: str = "fp", shingle: int = SHINGLE) -> Da
 
 
 def sliced_links(fps: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j), i < j < last[i], first[i] = i's bucket start, of fingerprints within radius (at most 3).
+    """Index pairs (i, j), i < j < last[i], first[i] = i's bucket start, of fingerprints within radius.
 
     The fingerprints are stored as 64 vertical bit planes, 64 fingerprints a word.  Each one is compared with the words
-    that its bucket spans: the differing bits of 64 fingerprints at once go through a carry-save counter (ones, twos, and
-    a flag for four or more); words whose lanes have all passed the radius are abandoned every few planes.
+    that its bucket spans: the differing bits of 64 fingerprints at once go through a carry-save counter (ones, twos, and as
+    many more planes as the radius needs, and a flag for what passes them); words whose lanes have all passed the radius
+    are abandoned every few planes.
     """
     n = len(fps)
     padded = np.zeros(-(-n // 64) * 64, np.uint64)
@@ -91,20 +92,18 @@ def sliced_links(fps: np.ndarray, first: np.ndarray, last: np.ndarray, radius: i
         # Lanes outside (q, last[q]) count as passed from the start.
         lo, hi = np.clip(q + 1 - w * 64, 0, 64), np.clip(last[q] - w * 64, 0, 64)
         over = ~(_below(hi) & ~_below(lo))
-        one, two = np.zeros(len(k), np.uint64), np.zeros(len(k), np.uint64)
+        counter = [np.zeros(len(k), np.uint64) for _ in range(max(1, radius.bit_length()))]
         fq = fps[q]
         for b in range(64):
             x = planes[b][w] ^ (np.uint64(0) - ((fq >> np.uint64(63 - b)) & np.uint64(1)))
-            carry = one & x
-            one ^= x
-            over |= two & carry
-            two ^= carry
-            if radius < 3:
-                over |= (two & one) if radius == 2 else two if radius == 1 else (one | two)
+            for n_plane, plane in enumerate(counter):
+                counter[n_plane], x = plane ^ x, plane & x
+            over |= x
             if b % 8 == 7:
+                over |= _above(counter, radius)
                 live = over != ALL
                 if not live.all():
-                    q, w, one, two, over, fq = q[live], w[live], one[live], two[live], over[live], fq[live]
+                    q, w, over, fq, counter = q[live], w[live], over[live], fq[live], [c[live] for c in counter]
                     if not len(q):
                         break
         if len(q):
@@ -118,6 +117,18 @@ def _below(k: np.ndarray) -> np.ndarray:
     return np.where(k >= 64, ALL, (np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1))
 
 
+def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """The lanes whose count, given as bit planes from the ones on, is over radius."""
+    above, equal = np.zeros_like(counter[0]), np.full_like(counter[0], ALL)
+    for k in reversed(range(len(counter))):
+        if radius >> k & 1:
+            equal &= counter[k]
+        else:
+            above |= equal & counter[k]
+            equal &= ~counter[k]
+    return above
+
+
 def _bucket_stars(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For fingerprints sorted by bucket, edges from each linked one to the root of its component within the bucket."""
     n = len(fps)
