@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from a model file: a normaliser (dummy prefix, white space to U+2581), a trie of the pieces,
-and byte fallback arcs for characters that no piece holds.  For a BPE model the weights of the tropical semiring are on
+The transducer is compiled from a model file: a fixed normaliser (dummy prefix, white space to U+2581), a trie of the
+pieces, and byte fallback arcs for characters that no piece holds.  For a BPE model the weights of the tropical semiring are on
 pairs of adjacent pieces: 0 if merging the two pieces' characters gives just these two, infinite otherwise.  A sequence of
 pieces is what the merges give exactly if each adjacent pair is such a pair, so of all paths of the composition with a
 text the shortest is the only finite one, and it is the encoding.  Merges never join a piece to a following U+2581, so a
@@ -25,6 +25,48 @@ PAIRS = 500_000
 INF = float("inf")
 
 
+def fields(message: bytes) -> dict[int, list]:
+    """A protobuf message's values by field number: integers, or bytes."""
+
+    def number(at: int) -> tuple[int, int]:
+        out = shift = 0
+        while True:
+            out |= (message[at] & 127) << shift
+            if message[at] < 128:
+                return out, at + 1
+            at, shift = at + 1, shift + 7
+
+    out: dict[int, list] = {}
+    at = 0
+    while at < len(message):
+        key, at = number(at)
+        if key & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = message[at : at + size], at + size
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+def unsupported(model: bytes) -> list[str]:
+    """What a serialised model asks for that the transducer doesn't do: it has BPE, byte fallback and one normaliser."""
+    spec = fields(model)
+    trainer, normaliser = (fields(b"".join(spec.get(k, []))) for k in (2, 3))
+    last = lambda m, k, default: m.get(k, [default])[-1]
+    wrong = {
+        "a model type other than BPE": last(trainer, 3, 1) != 2,
+        "no byte fallback": not last(trainer, 35, 0),
+        "white space as a suffix": bool(last(trainer, 24, 0)),
+        "a character map": bool(last(normaliser, 2, b"")),
+        "no dummy prefix": not last(normaliser, 3, 1),
+        "removal of extra white space": bool(last(normaliser, 4, 1)),
+        "white space that isn't escaped": not last(normaliser, 5, 1),
+        "user-defined pieces": any(last(fields(p), 3, 1) == 4 for p in spec.get(1, [])),
+    }
+    return [k for k, v in wrong.items() if v]
+
+
 class Transducer:
     """Composes texts with the pieces of one model; `encode` and `decode` are inverse up to the normaliser."""
 
@@ -32,6 +74,8 @@ class Transducer:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
+        if wrong := unsupported(model.serialized_model_proto()):
+            raise ValueError(f"{path}: the transducer doesn't support {', '.join(wrong)}")
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
