@@ -174,21 +174,27 @@ class Parser:
 
 
 def learn(docs: DataFrame, may_learn: Column, texts_a_language: int = SAMPLE_TEXTS, max_chars: int = MAX_CHARS) -> Model:
-    """Fits on about texts_a_language texts of each language, those with the smallest hashes of text."""
+    """Fits on about texts_a_language distinct texts of each language, those with the smallest hashes of text.
+
+    A language that has no text of max_chars or fewer is learnt from the first max_chars of its longer ones.
+    """
     own = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "doc_id").filter(
-        may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= max_chars)
+        may_learn & F.col("lang").isNotNull() & F.substring("text", 1, max_chars).rlike(r"\p{L}")
     )
+    short = F.char_length("text") <= max_chars
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    counts = {r["lang"]: r["count"] for r in docs.select(F.col("lang").cast("string").alias("lang"), "doc_id").filter(may_learn & F.col("lang").isNotNull()).groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    texts = own.select("lang", F.xxhash64("text").alias("t"), short.alias("short")).distinct()
+    counts = {r["lang"]: (r["short"], r["n"]) for r in texts.groupBy("lang").agg(F.count_if("short").alias("short"), F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return fit({})
     bound = None
-    for lang, n in counts.items():
-        b = F.lit(min(1 << 30, math.ceil(texts_a_language / n * (1 << 30))))
+    for lang, (n_short, n) in counts.items():
+        b = F.lit(min(1 << 30, math.ceil(texts_a_language / (n_short or n) * (1 << 30))))
+        b = F.when(short, b) if n_short else b
         bound = F.when(F.col("lang") == lang, b) if bound is None else bound.when(F.col("lang") == lang, b)
-    sample = own.filter(h < bound).select("lang", "text").distinct().toPandas()
+    sample = own.filter(h < bound).select("lang", F.substring("text", 1, max_chars).alias("text")).distinct().toPandas()
     samples: dict[str, list[str]] = {}
     for lang, text in sorted(zip(sample["lang"], sample["text"])):
         samples.setdefault(lang, []).append(text)
