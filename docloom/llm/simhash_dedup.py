@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from . import similar
-from .common import lookup, small, text_key, without, written
+from .bit_slices import linked_roots, sliced_links, votes
+from .common import fresh, lookup, small, text_key, without, written
 from .components import components
 
 RADIUS, SHINGLE = 3, 3
 #: A bucket with more fingerprints is split by further bits before it is compared.
 BUCKET_ROWS, LEVELS = 20_000, 8
-#: Pairs of a fingerprint and a block of 64 that are compared at a time.
-STEP = 1 << 16
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -37,16 +35,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     stops = ends[min(shingle, len(words)) - 1 :][:n]
     parts = map(joined.__getitem__, map(slice, starts.tolist(), stops.tolist()))
     hashes = np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(42))), np.uint8)
-    return int.from_bytes(np.packbits(_votes(hashes, n) * 2 > n).tobytes(), "big")
-
-
-def _votes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """How many of the n big-endian hashes have each bit; in blocks, so memory doesn't grow with the text."""
-    votes, step = np.zeros(64, np.int64), 1 << 14
-    for i in range(0, n, step):
-        bits = np.unpackbits(hashes[8 * i : 8 * (i + step)]).reshape(-1, 64)
-        votes += bits.sum(axis=0, dtype=np.int32)
-    return votes
+    return int.from_bytes(np.packbits(votes(hashes, n) * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
@@ -67,89 +56,11 @@ def fingerprints(docs: DataFrame, out: str = "fp", shingle: int = SHINGLE) -> Da
     return rows.mapInArrow(run, f"doc_id {kind}, t bigint, {out} bigint")
 
 
-def sliced_links(fps: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j), i < j < last[i], first[i] = i's bucket start, of fingerprints within radius.
-
-    The fingerprints are stored as 64 vertical bit planes, 64 fingerprints a word.  Each one is compared with the words
-    that its bucket spans: the differing bits of 64 fingerprints at once go through a carry-save counter (ones, twos, and as
-    many more planes as the radius needs, and a flag for what passes them); words whose lanes have all passed the radius
-    are abandoned every few planes.
-    """
-    n = len(fps)
-    padded = np.zeros(-(-n // 64) * 64, np.uint64)
-    padded[:n] = fps
-    bits = np.unpackbits(padded.astype(">u8").view(np.uint8)).reshape(-1, 64, 8 * 8)  # word, lane, bit from the top
-    planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0].astype(np.uint64)
-    i = np.arange(n)
-    w0, w1 = (i + 1) // 64, (np.maximum(last, i + 1) - 1) // 64
-    spans = np.where(last > i + 1, w1 - w0 + 1, 0)
-    ends = np.cumsum(spans)
-    total = int(ends[-1]) if n else 0
-    for at in range(0, total, STEP):
-        k = np.arange(at, min(at + STEP, total))
-        q = np.searchsorted(ends, k, side="right")
-        w = w0[q] + (k - (ends[q] - spans[q]))
-        # Lanes outside (q, last[q]) count as passed from the start.
-        lo, hi = np.clip(q + 1 - w * 64, 0, 64), np.clip(last[q] - w * 64, 0, 64)
-        over = ~(_below(hi) & ~_below(lo))
-        counter = [np.zeros(len(k), np.uint64) for _ in range(max(1, radius.bit_length()))]
-        fq = fps[q]
-        for b in range(64):
-            x = planes[b][w] ^ (np.uint64(0) - ((fq >> np.uint64(63 - b)) & np.uint64(1)))
-            for n_plane, plane in enumerate(counter):
-                counter[n_plane], x = plane ^ x, plane & x
-            over |= x
-            if b % 8 == 7:
-                over |= _above(counter, radius)
-                live = over != ALL
-                if not live.all():
-                    q, w, over, fq, counter = q[live], w[live], over[live], fq[live], [c[live] for c in counter]
-                    if not len(q):
-                        break
-        if len(q):
-            near = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            r, lane = np.nonzero(near)
-            yield q[r], w[r] * 64 + lane
-
-
-def _below(k: np.ndarray) -> np.ndarray:
-    """Words with the lowest k bits set, k from 0 to 64."""
-    return np.where(k >= 64, ALL, (np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1))
-
-
-def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """The lanes whose count, given as bit planes from the ones on, is over radius."""
-    above, equal = np.zeros_like(counter[0]), np.full_like(counter[0], ALL)
-    for k in reversed(range(len(counter))):
-        if radius >> k & 1:
-            equal &= counter[k]
-        else:
-            above |= equal & counter[k]
-            equal &= ~counter[k]
-    return above
-
-
 def _bucket_stars(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For fingerprints sorted by bucket, edges from each linked one to the root of its component within the bucket."""
-    n = len(fps)
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, n])
-    first, last = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
-    parent = np.arange(n)
-    for i, j in sliced_links(fps, first, last, radius):
-        while True:
-            a, b = parent[i], parent[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent = up
-    linked = np.flatnonzero(parent != np.arange(n))
+    first, last = (np.searchsorted(bucket, bucket, side=x) for x in ("left", "right"))
+    parent = linked_roots(len(fps), sliced_links(fps, first, last, radius))
+    linked = np.flatnonzero(parent != np.arange(len(fps)))
     return fps[linked], fps[parent[linked]]
 
 
@@ -217,29 +128,35 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     smallest is taken; a component of null ids alone has a null id.  Repeated rows keep a row each.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
     return _named(rows, nodes, links(nodes.select("fp"), radius))
 
 
 def similar_groups(docs: DataFrame, shingle: int = similar.SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
     """As near_groups, but documents are linked if the Jaccard similarity of their sets of shingles is similarity or more.
 
-    fp is a key of the set.  All such pairs are found (see `similar`): no SimHash radius would be sure to hold them.
+    fp is a key of the set.  SimHashes are compared bit-sliced within a radius wide enough for the similarity, in buckets of
+    shared shingles instead of Hamming blocks, which at such a radius would hold all pairs (see `similar`).
     """
     rows = written(similar.prefixes(docs, shingle, similarity), "shingle-prefixes")
-    own = [F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix")]
+    own = [F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("sim", "size", "least", "prefix")]]
     nodes = written(rows.groupBy("fp").agg(*own), "shingle-nodes")
-    pairs = written(similar.candidates(nodes, similarity), "shingle-pairs")
     rows = rows.select("doc_id", "t", "fp")
-    return _named(rows, nodes.select("fp", "least", "n"), similar.similar(docs, rows, pairs, shingle, similarity))
+    return _named(rows, nodes.select("fp", "first", "n"), similar.links(docs, rows, nodes, shingle, similarity))
+
+
+def _order():
+    """What the smallest document of a group is the smallest by: null ids last, then doc_id and the text's key."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("t").alias("t"))
 
 
 def _named(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows (doc_id, t, fp) with the component_id of their node (fp, least, n) by the edges (a, b) of nodes."""
+    """rows (doc_id, t, fp) with the component_id and component_t of their node (fp, first, n) by the edges (a, b) of nodes."""
     roots = components(edges).withColumnRenamed("node", "fp")
-    joined = nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    tops = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("root", "component_id")
-    named = written(joined.join(tops, "root", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "fingerprint-components")
+    joined = nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    tops = joined.groupBy("root").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("root", "top")
+    top = F.coalesce("top", "first")
+    named = written(joined.join(tops, "root", "left").select("fp", "n", top["doc_id"].alias("component_id"), top["t"].alias("component_t")), "fingerprint-components")
     return lookup(rows, named, "fp", "n", rows.count()).drop("n")
 
 
@@ -253,8 +170,16 @@ def drop_near(docs: DataFrame) -> DataFrame:
     """docs less all but one document of each group of near copies; the one with the smallest doc_id stays.
 
     Near copies have a Jaccard similarity of five-word shingles of 0.8 or more, directly or through others; op3's own rule
-    (near_groups) binds its query alone.  Texts without a word (null, empty, blank) are near copies of each other.  Rows
-    that repeat both id and text are one document and stay or go together; a null id goes unless its whole group has none.
+    (near_groups) binds its query alone.  Texts without a word (null, empty, blank) are near copies of each other.  Of
+    documents that share the smallest id the one with the smallest text key stays, of rows that repeat both any one; a null
+    id goes unless its whole group has none.
     """
-    found = similar_groups(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "t")
-    return without(docs, found)
+    groups = written(similar_groups(docs), "near-groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("component_t"))
+    kept = without(docs, groups.filter(~stays).select(F.col("doc_id").alias("id"), "t"))
+    repeated = written(groups.filter(stays).groupBy("doc_id", "t").count().filter("count > 1").select(F.col("doc_id").alias("id"), "t"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    k = fresh(docs.columns, "text_key")
+    again = kept.withColumn(k, text_key()).alias("d").join(repeated.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.id")) & (F.col(f"d.{k}") == F.col("r.t")), "left_semi")
+    return without(kept, repeated).unionByName(again.dropDuplicates(["doc_id", k]).drop(k))

@@ -1,4 +1,4 @@
-"""Pairs of documents whose shingles have a Jaccard similarity or more: a prefix join that loses none, checked exactly."""
+"""Documents whose shingles have a Jaccard similarity or more: SimHash compared in buckets of shared shingles, then exactly."""
 
 from __future__ import annotations
 
@@ -13,14 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from .common import small, text_key, written
+from .bit_slices import linked_roots, sliced_links, votes
+from .common import discard, small, text_key, written
+from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: A set of shingles is sketched by the SKETCH smallest hashes.  How many of these two similar sets share at least is
+#: certain for sets up to SKETCH, for larger ones it holds but for a CHANCE (18 at similarity 0.8).
+SKETCH, CHANCE = 48, 1e-9
+#: SimHashes of similar sets: at similarity 0.8 the expected distance is 9.7 of 64 bits with a deviation of 2.9.
+RADIUS = 24
 #: Shingles in COMMON_FROM or more of about SAMPLE documents are common, MOST_COMMON of them at most; they go last in the
 #: order of shingles.  Any order gives the same pairs; this one keeps the buckets small.
 SAMPLE, COMMON_FROM, MOST_COMMON = 20_000, 3, 200_000
-#: Pairs of a bucket that are made at a time.
-STEP = 1 << 20
+#: A bucket with more rows is compared in parts, each pair of parts in a task of its own.
+BUCKET_ROWS = 20_000
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -43,6 +50,25 @@ def least(n: int | np.ndarray, share: float) -> np.ndarray:
     return np.ceil(share * np.asarray(n) - 1e-9).astype(np.int64)
 
 
+def surely_shared(n: int, similarity: float = SIMILARITY) -> int:
+    """How many hashes the sketches of a set of n shingles and of any set similar to it share.
+
+    Sets of a and b hold least(a + b, s / (1 + s)) in common.  A sketch lacks what its set has beyond SKETCH, so up to that
+    size the count is certain.  Where both are larger, the SKETCH smallest hashes of both together are draws each of which
+    is shared with probability s or more: the count that they miss by at most CHANCE.
+    """
+    if n <= SKETCH:
+        most = int(n / similarity + 1e-9)
+        small_ones = int(least(n, similarity))
+        return max(1, min(small_ones, *(int(least(n + b, similarity / (1 + similarity))) - max(0, b - SKETCH) for b in (n, most))))
+    below = 0.0
+    for k in range(SKETCH):
+        below += math.comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k)
+        if below > CHANCE:
+            break
+    return max(1, k)
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The common shingles, ascending, and in how many sampled documents each is."""
 
@@ -60,60 +86,45 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, t (its text's key), fp (a key of its set of shingles), size of the set, prefix.
+    """doc_id, t (its text's key), fp (a key of its set of shingles), sim (its SimHash), size of the set, least, prefix.
 
-    prefix is the first size - least(size, similarity) + 1 shingles in the order of all shingles.
+    prefix is the first of the sketch's hashes in the order of all shingles, so many that one of them must be among those
+    that surely are shared (least).  A row has at most SKETCH of them, whatever the text's length.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_common(docs, shingle))
 
-    def prefix(own: np.ndarray) -> np.ndarray:
+    def prefix(own: np.ndarray, need: int) -> np.ndarray:
         common, count = shared.value
         weight = np.zeros(len(own), np.int64)
         if len(common):
             at = np.minimum(np.searchsorted(common, own), len(common) - 1)
             weight = np.where(common[at] == own, count[at], 0)
-        return own[np.lexsort((own, weight))][: len(own) - int(least(len(own), similarity)) + 1]
+        return own[np.lexsort((own, weight))][: len(own) - need + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), shingle) for t in b.column(2)]
-            fps = np.fromiter((xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            sizes = pa.array([len(s) for s in sets], pa.int32())
+            fps, sims, sizes, needs, lists = [], [], [], [], []
+            for t in b.column(2):
+                own = shingles(t.as_py(), shingle)
+                fps.append(xxh64_intdigest(own.tobytes()))
+                sims.append(int.from_bytes(np.packbits(votes(own.astype(">u8").view(np.uint8), len(own)) * 2 > len(own)).tobytes(), "big"))
+                sizes.append(len(own))
+                needs.append(surely_shared(len(own), similarity))
+                lists.append(prefix(own[:SKETCH], needs[-1]).view(np.int64))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sims)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(fps), sizes, pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "t", "fp", "size", "prefix"]
+                [b.column(0), b.column(1), *longs, pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(lists, pa.list_(pa.int64()))],
+                names=["doc_id", "t", "fp", "sim", "size", "least", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key().alias("t"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, t bigint, fp bigint, size int, prefix array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, t bigint, fp bigint, sim bigint, size int, least int, prefix array<bigint>")
 
 
-def bucket_pairs(h: np.ndarray, size: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows, sorted by (h, size), that share h and may be similar; at is h's place in the row's order.
-
-    Two sets of a similarity s or more hold least(a + b, s / (1 + s)) shingles in common.  The first of these lies in the
-    prefix of both, in the smaller set even within its first a - least(a, 2 s / (1 + s)) + 1, and behind it both sets have
-    room for the others; a pair that fails at this is made by no bucket.
-    """
-    n = len(h)
-    bucket = np.cumsum(np.r_[0, h[1:] != h[:-1]]) if n else np.zeros(0, np.int64)
-    base = int(size.max()) + 2 if n else 1
-    ends = np.searchsorted(bucket * base + size, bucket * base + np.minimum(np.floor(size / similarity + 1e-9).astype(np.int64), base - 1), side="right")
-    early = at < size - least(size, 2 * similarity / (1 + similarity)) + 1
-    count = np.where(early, np.maximum(0, ends - np.arange(n) - 1), 0)
-    total = np.cumsum(count)
-    for start in range(0, int(total[-1]) if n else 0, STEP):
-        k = np.arange(start, min(start + STEP, int(total[-1])))
-        i = np.searchsorted(total, k, side="right")
-        j = i + 1 + k - (total[i] - count[i])
-        room = np.minimum(size[i] - at[i], size[j] - at[j])
-        ok = room >= least(size[i] + size[j], similarity / (1 + similarity))
-        yield i[ok], j[ok]
-
-
-def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (fp, size, prefix) that hold all similar ones."""
+def by_bucket(of):
+    """A function for mapInPandas that gives `of` whole buckets of rows that come sorted by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -121,20 +132,101 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             whole = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(whole):
                 continue
-            # rows come sorted by h: all but the last bucket is complete
-            cut = int(np.searchsorted(whole["h"].to_numpy(), whole["h"].iloc[-1]))
-            yield from pairs_of(whole.iloc[:cut])
+            cut = int(np.searchsorted(whole["bucket"].to_numpy(), whole["bucket"].iloc[-1]))  # all but the last is complete
+            if cut:
+                yield from of(whole.iloc[:cut])
             held = whole.iloc[cut:]
-        if held is not None:
-            yield from pairs_of(held)
+        if held is not None and len(held):
+            yield from of(held)
+
+    return run
+
 
-    def pairs_of(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        fp = pdf["fp"].to_numpy()
-        for i, j in bucket_pairs(pdf["h"].to_numpy(), pdf["size"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64), similarity):
-            yield pd.DataFrame({"a": np.minimum(fp[i], fp[j]), "b": np.maximum(fp[i], fp[j])}).drop_duplicates()
+def close_pairs(pdf: pd.DataFrame, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows, sorted by (bucket, size), that may be similar: near sizes, room for what is shared, near SimHashes.
+
+    A pair is compared where its first shared hash puts it, and behind that both sketches have room for the others.
+    """
+    bucket, size, at = pdf["bucket"].to_numpy(), pdf["size"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
+    need, part, other = pdf["least"].to_numpy(np.int64), pdf["part"].to_numpy(), pdf["other"].to_numpy()
+    n = len(pdf)
+    nth = np.cumsum(np.r_[0, bucket[1:] != bucket[:-1]])
+    base = int(size.max()) + 2
+    reach = np.minimum(np.floor(size / similarity + 1e-9).astype(np.int64), base - 1)
+    last = np.searchsorted(nth * base + size, nth * base + reach, side="right")
+    room = np.minimum(size, SKETCH) - at
+    for i, j in sliced_links(pdf["sim"].to_numpy().view(np.uint64), np.arange(n), last, RADIUS):
+        ok = (np.minimum(room[i], room[j]) >= np.minimum(need[i], need[j])) & ((part[i] != part[j]) | (part[i] == other[i]))
+        yield i[ok], j[ok]
+
+
+def centres(sims: np.ndarray, fps: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each row the place of its group's centre: the SimHash nearest to the majority of the group's bits, least fp first."""
+    group = np.unique(root, return_inverse=True)[1]
+    n = np.bincount(group)
+    distance = np.zeros(len(sims), np.int64)
+    for b in range(64):
+        bit = (sims >> np.int64(b)) & 1
+        distance += bit != (2 * np.bincount(group, bit) > n)[group]
+    order = np.lexsort((fps, distance, group))
+    first = order[np.r_[True, group[order][1:] != group[order][:-1]]]
+    return first[group]
+
+
+def buckets(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """bucket, fp, sim, size, least, at, part, other: a row for each node and hash of its prefix.
+
+    A bucket over bucket_rows is cut into parts by the node's hash, and each two parts meet in a bucket of their own, in
+    which only pairs over parts count; so no task holds more than two parts, and no pair is lost.
+    """
+    rows = nodes.select("fp", "sim", "size", "least", F.posexplode("prefix").alias("at", "bucket")).withColumn("part", F.lit(0)).withColumn("other", F.lit(0))
+    crowded = written(rows.groupBy("bucket").count().filter(F.col("count") > bucket_rows), "crowded-shingles")
+    n = crowded.count()
+    if not n:
+        return rows
+    parts = F.ceil(F.col("count") / F.lit(bucket_rows)).cast("int")
+    cut = rows.drop("part", "other").join(small(crowded, n), "bucket").withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = cut.withColumn("bucket", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))).drop("count")
+    return rows.join(small(crowded, n), "bucket", "left_anti").unionByName(cut)
+
+
+def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (a, b) of similar nodes (fp, sim, size, least, prefix) that join all similar ones, directly or through others.
+
+    First each close node is compared exactly with the centre of its close ones in a bucket only; then all close pairs that
+    these edges leave in different components are.  So a group of n near copies of one text costs about n comparisons.
+    """
 
-    rows = nodes.select("fp", "size", F.posexplode("prefix").alias("at", "h"))
-    return rows.repartition("h").sortWithinPartitions("h", "size").mapInPandas(run, "a bigint, b bigint").distinct()
+    def stars(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        pdf = pdf.sort_values(["bucket", "size", "fp"], kind="stable")
+        root = linked_roots(len(pdf), close_pairs(pdf, similarity))
+        near = np.bincount(root, minlength=len(pdf))[root] > 1
+        if near.any():
+            pdf, root = pdf[near], root[near]
+            fp = pdf["fp"].to_numpy()
+            yield pdf.assign(root=fp[centres(pdf["sim"].to_numpy(), fp, root)])
+
+    def apart(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        pdf = pdf.sort_values(["bucket", "size", "fp"], kind="stable")
+        fp, root = pdf["fp"].to_numpy(), pdf["root"].to_numpy()
+        for i, j in close_pairs(pdf, similarity):
+            far = root[i] != root[j]
+            i, j = i[far], j[far]
+            if len(i):
+                yield pd.DataFrame({"a": np.minimum(fp[i], fp[j]), "b": np.maximum(fp[i], fp[j])}).drop_duplicates()
+
+    kinds = "fp bigint, sim bigint, size int, least int, at int, bucket bigint, part int, other int"
+    cut = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    spread = buckets(nodes, bucket_rows).select(*[k.split()[0] for k in kinds.split(", ")])
+    close = written(cut(spread).mapInPandas(by_bucket(stars), kinds + ", root bigint"), "close-shingles")
+    first = close.filter("fp <> root").select(F.least("fp", "root").alias("a"), F.greatest("fp", "root").alias("b")).distinct()
+    edges = written(similar(docs, rows, written(first, "close-pairs"), shingle, similarity), "similar-pairs")
+    own = components(edges).withColumnRenamed("node", "fp").withColumnRenamed("root", "top")
+    joined = close.drop("root").join(own, "fp", "left").withColumn("root", F.coalesce("top", "fp")).drop("top")
+    left = written(cut(joined.select(*close.columns)).mapInPandas(by_bucket(apart), "a bigint, b bigint").distinct(), "close-pairs")
+    discard(close)
+    return edges.unionByName(similar(docs, rows, left, shingle, similarity))
 
 
 def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

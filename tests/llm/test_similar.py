@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 from llm_fixtures import SCHEMA, prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import simhash_dedup
+from docloom.llm import similar, simhash_dedup
 
 
 def brute_sets(texts):
@@ -66,3 +68,48 @@ def test_op3_keeps_its_own_rule(spark):
     rows = cases()
     got = {r["doc_id"]: r["fingerprint"] for r in simhash_dedup.near_report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(int(got[i], 16) == simhash_dedup.fingerprint(t, 3) for i, t, *_ in rows)
+
+
+def test_crowded_buckets_and_a_large_group(spark):
+    """A bucket that is cut into parts loses no pair, and a group of near copies isn't compared pair by pair."""
+    rnd = random.Random(8)
+    base, star = prose(rnd, 300), prose(rnd, 90)
+    rows = [(i, edited(rnd, base, 1), "en", "s", 1) for i in range(100)] + [(100 + i, edited(rnd, star, i > 0), "en", "s", 1) for i in range(60)] + [(200 + i, prose(rnd, 40), "en", "s", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    own = similar.prefixes(docs).cache()
+    nodes = own.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("sim", "size", "least", "prefix")]).cache()
+    for most in (20_000, 25):
+        edges = similar.links(docs, own.select("doc_id", "t", "fp"), nodes, bucket_rows=most).collect()
+        fp = {r["doc_id"]: r["fp"] for r in own.select("doc_id", "fp").collect()}
+        at = {x: x for x in fp.values()}
+
+        def top(x, at=at):
+            while at[x] != x:
+                x = at[x]
+            return x
+
+        for a, b in edges:
+            at[max(top(a), top(b))] = min(top(a), top(b))
+        least = {}
+        for i in sorted(fp):
+            least.setdefault(top(fp[i]), i)
+        assert {i for i in fp if least[top(fp[i])] == i} == brute_kept(rows)
+        assert most < 100 or len(edges) < 1000  # of 4950 and 1770 pairs
+
+
+def test_sketches_share_enough():
+    rng = np.random.default_rng(1)
+    for a, b, both in ((10, 10, 9), (40, 50, 40), (48, 60, 48), (50, 40, 40), (60, 60, 54), (300, 300, 267), (400, 500, 400)):
+        assert both / (a + b - both) >= 0.8
+        for _ in range(300):
+            h = rng.integers(0, 1 << 63, a + b - both)
+            x, y = np.sort(h[:a])[: similar.SKETCH], np.sort(h[a - both :])[: similar.SKETCH]
+            shared = len(np.intersect1d(x, y))
+            assert shared >= min(similar.surely_shared(a), similar.surely_shared(b))
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = prose(random.Random(4), 60)
+    rows = [(1, text, "a", "s", 1), (1, text + " x", "b", "s", 1), (2, text, "c", "s", 1), (None, text, "d", "s", 1), (7, "alone", "e", "s", 1), (7, "alone", "f", "s", 1)]
+    got = simhash_dedup.drop_near(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 7]
