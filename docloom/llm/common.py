@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterable
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds more than one row in HOT_SHARE is hot.  There can be at most HOT_SHARE such keys, so the table of hot
@@ -120,18 +120,26 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn(k, text_key()).join(listed, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(k) == F.col(t)), "left_anti").drop(k)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, max_chars: int) -> tuple[DataFrame, dict[int, float]]:
-    """(doc_id, text, label) of at most per_class documents of each class 0 and 1, and how many rows each stands for.
+def piece_of(text: Column, max_chars: int, by: Column) -> Column:
+    """The text, or of one over max_chars one of its pieces of max_chars characters, drawn by the hash of `by`."""
+    n = F.ceil(F.char_length(text) / F.lit(max_chars)).cast("long")
+    at = F.pmod(F.xxhash64(by, F.lit(17)), F.greatest(n, F.lit(1).cast("long")))
+    return F.substring(text, (at * max_chars + 1).cast("int"), F.lit(max_chars))
 
-    The sample is the rows with the smallest hash of the id, so it depends on the rows alone.  learn is a condition on
-    doc_id that says which labels may be learnt.  Ids with several labels count with the largest; null labels, ids
-    without a document and texts over max_chars are left out.  Both bounds are parameters of the operators that fit.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, text, label) of at most per_class documents of each class 0 and 1, and how many ids each stands for.
+
+    The sample is the ids with the smallest hash among those that have both a label and a document, so it depends on the
+    rows alone.  learn is a condition on doc_id that says which labels may be learnt.  Ids with several labels count with
+    the largest, ids with several texts with the one of the smallest hash; null ids and labels are left out.  Only ids are
+    shuffled, and texts of the ids that are chosen.  per_class is a parameter of the operators that fit.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    known = written(known, "labels")
+    known = written(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("label = 1").orderBy(*order).limit(per_class))
-    text = F.col("text").cast("string")
-    sample = docs.select("doc_id", text.alias("text")).filter(F.char_length("text") <= max_chars).join(F.broadcast(ids), "doc_id")
-    return sample, {k: v / min(v, per_class) for k, v in n.items()}
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    return one.select("doc_id", "text", "label"), {k: v / min(v, per_class) for k, v in n.items()}

@@ -1,25 +1,32 @@
-"""Language by cross-parsing: the suffix automaton that parses a text in the fewest normalised phrases wins."""
+"""Language by cross-parsing: the suffix automaton that parses a text in the fewest normalised phrases wins.
+
+Texts are read as lower-case letters in UTF-8, byte by byte, runs of anything else as one space; so letters of any script
+are told apart with an alphabet of a few hundred symbols.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, piece_of
 
-#: Reference letters a language, from at most SAMPLE_TEXTS texts of MAX_CHARS characters or fewer.
-REFERENCE, SAMPLE_TEXTS, MAX_CHARS = 30_000, 200, 6000
-MOST_LANGUAGES = 200
-#: Texts are parsed in lanes of LANE letters, LANES at a time; a phrase ends with its lane.
+#: Reference bytes a language, cut evenly from SAMPLE_TEXTS texts or so; of a text over MAX_CHARS characters one piece is
+#: sampled.  Over TOTAL / REFERENCE languages share TOTAL bytes, LEAST_REFERENCE each at least.
+REFERENCE, SAMPLE_TEXTS, MAX_CHARS, TOTAL, LEAST_REFERENCE = 30_000, 200, 6000, 900_000, 1000
+#: Texts are parsed in lanes of LANE bytes, LANES at a time; a phrase ends with its lane.
 LANE, LANES = 256, 4096
-#: Symbols: 0 is a run of anything but letters, 1 a letter that no reference has, then the reference's letters; the last is padding.
+#: Symbols: 0 is a run of anything but letters, 1 a byte that no reference has, then the references' bytes; the last is padding.
 LETTERS_FROM = 2
+#: Cells of the tables that are looked up together.
+CELLS = 1 << 28
 
 
 def automaton(codes: list[int], width: int) -> np.ndarray:
@@ -58,68 +65,93 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """table[i + c] for the offset i of a state and symbol c: twice the next state's offset, plus 1 if a phrase ended."""
+    """Groups of languages, each with one table for all its automata.
+
+    table[i + c] for the offset i of a state and symbol c: twice the next state's offset, plus 1 if a phrase ended.  roots
+    are the offsets of the automata's first states.
+    """
 
     languages: list[str]
-    alphabet: str
-    table: np.ndarray
-    roots: np.ndarray
+    alphabet: bytes
+    tables: list[np.ndarray]
+    roots: list[np.ndarray]
     bits: np.ndarray
 
 
-def codes_of(alphabet: str) -> np.ndarray:
-    """code point -> symbol; letters are folded to lower case one by one."""
-    out = np.zeros(0x110000, np.uint8)
-    at = {c: i + LETTERS_FROM for i, c in enumerate(alphabet)}
+@cache
+def folded() -> np.ndarray:
+    """code point -> its lower case if that is a letter, else 0; letters are folded one by one."""
+    out = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
-            out[cp] = at.get(low if len(low) == 1 else c, 1)
+            out[cp] = ord(low) if len(low) == 1 else cp
     return out
 
 
-def symbols(texts: list[str], lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts, runs of 0 within a text merged, and how many each text has."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, lower-case letters alone, runs of others within a text as one 0; bytes and letters by text."""
+    points = folded()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    out = lut[points]
-    keep = out != 0
-    keep[1:] |= out[:-1] != 0
+    keep = points != 0
+    is_letter = np.r_[0, np.cumsum(keep)]
+    keep[1:] |= points[:-1] != 0
     starts = np.cumsum(sizes) - sizes
     keep[starts[sizes > 0]] = True
+    own = points[keep]
     kept = np.r_[0, np.cumsum(keep)]
-    return out[keep], kept[starts + sizes] - kept[starts]
-
-
-def fit(samples: dict[str, list[str]], reference: int = REFERENCE) -> Model:
-    """Automata of each language's texts, cut at reference letters."""
-    counts: dict[str, int] = {}
-    for texts in samples.values():
-        for t in texts:
-            for c in t.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-    alphabet = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:200]))
+    length = np.r_[0, np.cumsum(1 + (own >= 0x80).astype(np.int64) + (own >= 0x800) + (own >= 0x10000))]
+    flat = np.frombuffer(own.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+    ends = starts + sizes
+    return flat, length[kept[ends]] - length[kept[starts]], is_letter[ends] - is_letter[starts]
+
+
+def codes_of(alphabet: bytes) -> np.ndarray:
+    """byte -> symbol."""
+    out = np.ones(256, np.uint8)
+    out[0] = 0
+    out[list(alphabet)] = np.arange(len(alphabet)) + LETTERS_FROM
+    return out
+
+
+def reference_of(texts: list[str], size: int) -> np.ndarray:
+    """About size bytes of the texts: an even share of each, from a place drawn by a fixed seed; what short ones leave is shared."""
+    flat, sizes, _ = letters_of(texts)
+    starts, rng, left, parts = np.cumsum(sizes) - sizes, np.random.default_rng(0), size, []
+    for nth, k in enumerate(np.argsort(sizes, kind="stable")):
+        share = min(int(sizes[k]), -(-left // (len(texts) - nth)))
+        at = int(starts[k]) + int(rng.integers(0, sizes[k] - share + 1))
+        parts += [flat[at : at + share], np.zeros(1, np.uint8)]
+        left -= share
+    return np.concatenate(parts)
+
+
+def fit(samples: dict[str, list[str]], reference: int = REFERENCE, total: int = TOTAL) -> Model:
+    """Automata of each language's texts."""
+    languages = sorted(samples)
+    size = min(reference, max(LEAST_REFERENCE, total // max(1, len(languages))))
+    own = [reference_of(samples[lang], size) for lang in languages]
+    alphabet = bytes(sorted(set(np.unique(np.concatenate(own)).tolist()) - {0})) if own else b""
     lut, width = codes_of(alphabet), len(alphabet) + LETTERS_FROM + 1
-    languages, tables, roots, bits, offset = sorted(samples), [], [], [], 0
-    for lang in languages:
-        flat, _ = symbols([t + "\n" for t in samples[lang]], lut)
-        own = flat[:reference]
-        raw = automaton(own.tolist(), width)
+    groups, roots, offset = [], [], CELLS
+    for x in own:
+        raw = automaton(lut[x].tolist(), width)
+        if offset + raw.size > CELLS:
+            groups.append([])
+            roots.append([])
+            offset = 0
         # No transition: the phrase ends, and the next one starts with this symbol at the root.
         root = np.where(raw[0] >= 0, raw[0], 0)
         ended = raw < 0
         step = np.where(ended, root[None, :], raw).astype(np.int64) * width + offset
         step = 2 * step + ended
         step[:, -1] = 2 * (np.arange(len(raw), dtype=np.int64) * width + offset)  # padding stays where it is
-        tables.append(step.astype(np.int32).ravel())
-        roots.append(offset)
-        bits.append(math.log2(max(2, len(own))))
+        groups[-1].append(step.astype(np.int32).ravel())
+        roots[-1].append(offset)
         offset += raw.size
-        if offset * 2 > 2**31 - 1:
-            raise ValueError("the automata are too large for one table; take a smaller reference")
-    return Model(languages, alphabet, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(bits))
+    bits = np.array([math.log2(max(2, len(x))) for x in own])
+    return Model(languages, alphabet, [np.concatenate(g) for g in groups], [np.array(r, np.int32) for r in roots], bits)
 
 
 class Parser:
@@ -128,12 +160,11 @@ class Parser:
         self.pad = len(model.alphabet) + LETTERS_FROM
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrases by text and language, symbols, letters by text)."""
+        """(phrases by language and text, bytes by text, letters by text)."""
         m = self.m
-        flat, sizes = symbols(texts, self.lut)
+        flat, sizes, n_letters = letters_of(texts)
+        flat = self.lut[flat]
         starts = np.cumsum(sizes) - sizes
-        letters = np.r_[0, np.cumsum(flat != 0)]
-        n_letters = letters[starts + sizes] - letters[starts]
         lanes = -(-sizes // LANE)
         of = np.repeat(np.arange(len(texts)), lanes)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -148,15 +179,18 @@ class Parser:
             block = padded[begin[own][:, None] + np.arange(width)]
             block[np.arange(width)[None, :] >= size[own][:, None]] = self.pad
             block = np.ascontiguousarray(block.T)
-            state = np.repeat(m.roots[:, None], len(own), 1)
-            found = np.zeros(state.shape, np.int32)
-            for c in block:
-                v = m.table[state + c]
-                found += v & 1
-                state = v >> 1
-            found += state != m.roots[:, None]
-            for k in range(len(m.languages)):
-                out[k] += np.bincount(of[own], found[k], len(texts))
+            nth_language = 0
+            for table, roots in zip(m.tables, m.roots):
+                state = np.repeat(roots[:, None], len(own), 1)
+                found = np.zeros(state.shape, np.int32)
+                for c in block:
+                    v = table[state + c]
+                    found += v & 1
+                    state = v >> 1
+                found += state != roots[:, None]
+                for k in range(len(roots)):
+                    out[nth_language] += np.bincount(of[own], found[k], len(texts))
+                    nth_language += 1
         return out, sizes, n_letters
 
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -176,31 +210,23 @@ class Parser:
 def learn(docs: DataFrame, may_learn: Column, texts_a_language: int = SAMPLE_TEXTS, max_chars: int = MAX_CHARS) -> Model:
     """Fits on about texts_a_language distinct texts of each language, those with the smallest hashes of text.
 
-    A language that has no text of max_chars or fewer is learnt from the first max_chars of its longer ones.
+    A text over max_chars characters is sampled by one piece of max_chars, drawn by its hash; texts whose piece has no
+    letter can't be learnt.  Each language that has any text left is learnt, whatever its number of rows or copies.
     """
-    own = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "doc_id").filter(
-        may_learn & F.col("lang").isNotNull() & F.substring("text", 1, max_chars).rlike(r"\p{L}")
-    )
-    short = F.char_length("text") <= max_chars
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    texts = own.select("lang", F.xxhash64("text").alias("t"), short.alias("short")).distinct()
-    counts = {r["lang"]: (r["short"], r["n"]) for r in texts.groupBy("lang").agg(F.count_if("short").alias("short"), F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    text = F.col("text").cast("string")
+    own = docs.select(piece_of(text, max_chars, text).alias("text"), F.col("lang").cast("string").alias("lang"), "doc_id")
+    own = own.filter(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    texts = own.select("lang", F.xxhash64("text").alias("t")).distinct()
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}  # the model names them all
     if not counts:
         return fit({})
-    bound = None
-    for lang, (n_short, n) in counts.items():
-        b = F.lit(min(1 << 30, math.ceil(texts_a_language / (n_short or n) * (1 << 30))))
-        b = F.when(short, b) if n_short else b
-        bound = F.when(F.col("lang") == lang, b) if bound is None else bound.when(F.col("lang") == lang, b)
-    sample = own.filter(h < bound).select("lang", F.substring("text", 1, max_chars).alias("text")).distinct().toPandas()
+    bounds = docs.sparkSession.createDataFrame([(k, min(1 << 30, math.ceil(texts_a_language / n * (1 << 30)))) for k, n in counts.items()], "lang string, bound long")
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    sample = own.join(F.broadcast(bounds), "lang").filter(h < F.col("bound")).select("lang", "text").distinct().toPandas()
     samples: dict[str, list[str]] = {}
     for lang, text in sorted(zip(sample["lang"], sample["text"])):
         samples.setdefault(lang, []).append(text)
-    for texts in samples.values():
-        np.random.default_rng(0).shuffle(texts)
-    return fit({k: v for k, v in samples.items() if any(c.isalpha() for t in v for c in t)})
+    return fit(samples)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -11,22 +11,23 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, labelled_sample
+from .common import crc_of_id, labelled_sample, piece_of
 
 #: Texts are compressed in pieces of CHUNK bytes, so that the dictionary counts at the end of a long text as at its start.
 CHUNK, LEVEL, DICTIONARY = 2048, 3, 112_640
-#: Labelled documents of each class that are fitted on at most, and the longest of them in characters.
+#: Labelled documents of each class that are fitted on at most; of a longer one a piece of MAX_CHARS characters is.
 PER_CLASS, MAX_CHARS = 3000, 20_000
 THRESHOLD = 0.3
 
 
 @dataclass
 class Model:
+    """score = sigmoid(slope * d + base) for the normalised size difference d."""
+
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    slope: float
+    base: float
 
 
 def chunks(data: bytes) -> list[bytes]:
@@ -43,7 +44,7 @@ def dictionary(texts: list[bytes]) -> bytes:
 
 
 class Sizes:
-    """Compressed sizes of texts under both dictionaries."""
+    """Texts compressed under both dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.compress = []
@@ -52,50 +53,53 @@ class Sizes:
             data.precompute_compress(level=LEVEL)
             self.compress.append(zstd.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False).compress)
 
-    def of(self, text: str | None) -> tuple[float, float]:
-        """(bad - good size, smaller size), both a byte of text; an empty text has (0, 1)."""
+    def difference(self, text: str | None) -> float:
+        """(bad - good size) / (bad + good size) summed over the pieces, in -1 to 1; 0 for an empty text."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        if not data:
-            return 0.0, 1.0
         good, bad = self.compress
         g = b = 0
-        for c in chunks(data):
+        for c in chunks(data) if data else []:
             g += len(good(c))
             b += len(bad(c))
-        return (b - g) / len(data), min(g, b) / len(data)
+        return (b - g) / max(1, b + g)
 
 
-def features(pairs: np.ndarray) -> np.ndarray:
-    d, r = pairs[:, 0], np.minimum(pairs[:, 1], 2.0)
-    return np.c_[d, r, d * d, r * r, d * r]
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """Dictionaries from half of the texts, calibration by logistic regression on the other half."""
-    half = np.arange(len(texts)) % 2 == 0
-    of = lambda k: [texts[i].encode("utf-8", "surrogatepass") for i in np.flatnonzero(half & (labels == k))]
-    good, bad = dictionary(of(1)), dictionary(of(0))
-    sizes = Sizes(good, bad)
-    x = np.array([sizes.of(texts[i]) for i in np.flatnonzero(~half)], float).reshape(-1, 2)
-    f, y, w = features(x), labels[~half].astype(float), weights[~half]
-    mean, scale = (f.mean(0), f.std(0) + 1e-9) if len(f) else (np.zeros(5), np.ones(5))
-    a = np.c_[(f - mean) / scale, np.ones(len(f))]
-    theta = np.zeros(a.shape[1])
-    ridge = np.diag([*[1e-2 * max(1.0, w.mean() if len(w) else 1.0)] * (a.shape[1] - 1), 1e-9])
-    for _ in range(60):  # Newton steps, damped
-        p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
+def calibrated(d: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Slope and base of a logistic regression of labels y on differences d with weights w; by damped Newton steps."""
+    if not len(d):
+        return 0.0, 0.0
+    spread = d.std() + 1e-9
+    a = np.c_[d / spread, np.ones(len(d))]
+    theta, ridge = np.zeros(2), np.diag([1e-2 * max(1.0, w.mean()), 1e-9])
+    for _ in range(100):
+        p = sigmoid(a @ theta)
         grad = a.T @ (w * (p - y)) + ridge @ theta
-        hess = (a * (w * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(theta))
+        hess = (a * (w * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         theta -= step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-9:
             break
-    return Model(good, bad, mean, scale, theta)
+    return float(theta[0] / spread), float(theta[1])
+
+
+def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
+    """Dictionaries from half of the texts, calibration on the other half."""
+    half = np.arange(len(texts)) % 2 == 0
+    of = lambda k: [texts[i].encode("utf-8", "surrogatepass") for i in np.flatnonzero(half & (labels == k))]
+    good, bad = dictionary(of(1)), dictionary(of(0))
+    sizes = Sizes(good, bad)
+    d = np.array([sizes.difference(texts[i]) for i in np.flatnonzero(~half)], float)
+    return Model(good, bad, *calibrated(d, labels[~half].astype(float), weights[~half]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    sample, stands_for = labelled_sample(docs, labels, label, may_learn, per_class, max_chars)
-    pdf = sample.toPandas().sort_values(["doc_id", "text"])
+    """The driver gets at most 2 * per_class texts of max_chars characters."""
+    sample, stands_for = labelled_sample(docs, labels, label, may_learn, per_class)
+    pdf = sample.withColumn("text", piece_of(F.col("text"), max_chars, F.col("doc_id"))).toPandas().sort_values("doc_id")
     y = pdf["label"].to_numpy(int)
     # shuffled by a fixed permutation, so the halves don't depend on the order of ids
     order = np.random.default_rng(0).permutation(len(pdf))
@@ -112,9 +116,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         sizes = kept.setdefault("sizes", Sizes(m.good, m.bad)) if not kept else kept["sizes"]
         for b in batches:
-            x = np.array([sizes.of(t.as_py()) for t in b.column(1)], float).reshape(-1, 2)
-            a = np.c_[(features(x) - m.mean) / m.scale, np.ones(len(x))]
-            p = 1 / (1 + np.exp(-np.clip(a @ m.weights, -30, 30)))
+            p = sigmoid(m.slope * np.array([sizes.difference(t.as_py()) for t in b.column(1)], float) + m.base)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -27,8 +27,8 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     scores = []
     for i, w in enumerate(weights):
         if w:
-            h = F.shiftrightunsigned(F.xxhash64(text, F.lit(i)), 11)
-            u = (h.cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+            h = F.shiftrightunsigned(F.xxhash64(text, F.lit(i)), 12)  # 52 bits, so that adding a half is exact and u never 1
+            u = (h.cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
             scores.append(F.struct((F.lit(-float(w)) / F.ln(u)).alias("s"), F.lit(-i).alias("i")))
     return (-(F.greatest(*scores) if len(scores) > 1 else scores[0])["i"]).cast("int")
 
@@ -39,14 +39,15 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], shard: str
 
 
 def number_slots(rows: DataFrame, shard: str, key: str, slot: str = "slot") -> DataFrame:
-    """rows with a gapless slot from 0 in each shard, in order of a hash bucket, the key, then the other columns.
+    """rows with a gapless slot from 0 in each shard, in order of a bucket by the row's hash, the key, then the other columns.
 
     Repeated rows are counted before the shuffle and numbered as one run, so a key that holds a third of the rows is one
-    row in the sort.  The offsets of the buckets are at most SLOT_BUCKETS rows a shard and are broadcast.
+    row in the sort; rows of one key that differ elsewhere (texts without an id) spread over the buckets.  The offsets of
+    the buckets are at most SLOT_BUCKETS rows a shard and are broadcast.
     """
     names = rows.columns
     b, n, before, base, i = (fresh(names, x) for x in ("slot_bucket", "slot_n", "slot_before", "slot_base", "slot_i"))
-    bucketed = rows.withColumn(b, F.pmod(F.xxhash64(F.col(key)), F.lit(SLOT_BUCKETS)).cast("int"))
+    bucketed = rows.withColumn(b, F.pmod(F.xxhash64(*names), F.lit(SLOT_BUCKETS)).cast("int"))
     runs = bucketed.groupBy(*names, b).agg(F.count(F.lit(1)).alias(n))
     w = Window.partitionBy(shard, b).orderBy(*[F.col(c).asc_nulls_first() for c in [key, *[x for x in names if x not in (key, shard)]]])
     numbered = runs.withColumn(before, F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)))

@@ -12,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, labelled_sample
+from .common import crc_of_id, labelled_sample, written
 
 #: Terms are hashed to BUCKETS; words and their first 4 and 6 letters are terms.
 BUCKETS, PREFIXES = 1 << 20, (4, 6)
-#: Only terms that occur in two texts and tell the classes apart (log-likelihood ratio) enter the machine.
-LEAST_RATIO, LEAST_TEXTS = 8.0, 2
-FACTORS, STEPS, RATE, L1, L2 = 4, 100, 0.15, 1e-4, 1e-2
-#: Labelled documents of each class that are fitted on at most, and the longest of them in characters.
-PER_CLASS, MAX_CHARS = 6000, 20_000
+#: Terms enter the machine that occur in LEAST_TEXTS texts and tell the classes apart alone (log-likelihood ratio), or in a
+#: pair by LEAST_GAIN more than its terms do alone.  Pairs are counted of the PAIR_TERMS terms that split the texts most
+#: evenly; of the others at most MOST_TERMS enter.
+LEAST_RATIO, LEAST_TEXTS, LEAST_GAIN, PAIR_TERMS, MOST_TERMS = 8.0, 2, 40.0, 2048, 20_000
+FACTORS, STEPS, RATE, L1, L2 = 4, 150, 0.15, 1e-4, 1e-2
+#: Labelled documents of each class that are fitted on at most.
+PER_CLASS = 6000
 THRESHOLD = 0.3
 #: Words whose terms a worker remembers before it starts afresh.
 REMEMBERED = 300_000
@@ -69,28 +71,63 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _told_apart(present: np.ndarray, in_toxic: np.ndarray, n: int, toxic: int) -> np.ndarray:
-    """The log-likelihood ratio of each term's two-by-two table."""
+def _part(seen, row, col, n):
+    """seen * ln(seen * n / (row * col)), 0 where nothing is seen: a cell's part of half a log-likelihood ratio."""
+    return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(row * col, 1e-9)), 0)
 
-    def part(seen, row, col):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(row * col, 1e-9)), 0)
 
-    a, b = in_toxic, present - in_toxic
-    c, d = toxic - a, n - toxic - b
-    return 2 * (part(a, present, toxic) + part(b, present, n - toxic) + part(c, n - present, toxic) + part(d, n - present, n - toxic))
+def told_apart(present: Column, in_toxic: Column, n: int, toxic: int) -> Column:
+    """The log-likelihood ratio of a term's two-by-two table."""
+    cells = [
+        (in_toxic, present, toxic),
+        (present - in_toxic, present, n - toxic),
+        (F.lit(toxic) - in_toxic, F.lit(n) - present, toxic),
+        (F.lit(n - toxic) - present + in_toxic, F.lit(n) - present, n - toxic),
+    ]
+    return 2 * sum((F.when(seen > 0, seen * F.ln(seen * F.lit(float(n)) / (row * F.lit(float(col))))).otherwise(F.lit(0.0)) for seen, row, col in cells), F.lit(0.0))
 
 
-def fit(term_lists: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """The machine by full gradient steps (Adam), weights soft-thresholded; deterministic."""
+def interacting(term_lists: list[np.ndarray], labels: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Those of terms (ascending) that are in a pair which tells the classes apart by LEAST_GAIN more than its two terms do alone.
+
+    The ratio of a pair's four-by-two table less those of its terms; a pair of which neither term means anything alone
+    (one but not both, both or neither) has all of its ratio left.
+    """
+    k, n = len(terms), len(term_lists)
+    both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for at in range(0, n if k > 1 else 0, 512):
+        x = np.zeros((min(512, n - at), k), np.float32)
+        for r, own in enumerate(term_lists[at : at + 512]):
+            own = own[np.isin(own, terms)]
+            x[r, np.searchsorted(terms, own)] = 1
+        both += x.T @ x
+        x = x[labels[at : at + 512] == 1]
+        toxic += x.T @ x
+    present, in_toxic, n_toxic = both.diagonal().astype(float), toxic.diagonal().astype(float), float((labels == 1).sum())
+    cell = lambda seen, bad: _part(bad, seen, n_toxic, n) + _part(seen - bad, seen, n - n_toxic, n)
+    alone = cell(present, in_toxic) + cell(n - present, n_toxic - in_toxic)
+    out = np.zeros(k, bool)
+    for at in range(0, k, 64):
+        i = slice(at, at + 64)
+        a, b, ab = present[i, None], present[None], both[i].astype(float)
+        ta, tb, tab = in_toxic[i, None], in_toxic[None], toxic[i].astype(float)
+        pair = cell(ab, tab) + cell(a - ab, ta - tab) + cell(b - ab, tb - tab) + cell(n - a - b + ab, n_toxic - ta - tb + tab)
+        gain = 2 * (pair - alone[i, None] - alone[None])
+        gain[np.arange(gain.shape[0]), at + np.arange(gain.shape[0])] = 0
+        found = gain >= LEAST_GAIN
+        out |= found.any(0)
+        out[i] |= found.any(1)
+    return terms[out]
+
+
+def fit(term_lists: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> Model:
+    """The machine on the chosen terms by full gradient steps (Adam), weights soft-thresholded; deterministic."""
     n, y = len(term_lists), labels.astype(float)
     toxic = int(y.sum())
     if not n or toxic in (0, n):
         return Model(-30.0 if not toxic else 30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     flat = np.concatenate(term_lists)
     rows = np.repeat(np.arange(n), [len(t) for t in term_lists])
-    present = np.bincount(flat, minlength=BUCKETS).astype(float)
-    in_toxic = np.bincount(flat, y[rows], minlength=BUCKETS)
-    chosen = np.flatnonzero((present >= LEAST_TEXTS) & (_told_apart(present, in_toxic, n, toxic) >= LEAST_RATIO))
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     inside = place[flat] >= 0
@@ -118,19 +155,39 @@ def fit(term_lists: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -
     return Model(float(w0), chosen, w, v)
 
 
-def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    """Terms are cut on the executors; the driver gets the bucket numbers of at most 2 * per_class bounded texts."""
-    sample, stands_for = labelled_sample(docs, labels, label, may_learn, per_class, max_chars)
+def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+    """Terms are cut, counted and chosen on the executors; the driver gets the chosen terms of at most 2 * per_class texts.
+
+    Long texts are learnt from whole, for a text is the set of its terms.
+    """
+    sample, stands_for = labelled_sample(docs, labels, label, may_learn, per_class)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([terms_in(t.as_py()).astype(np.int32) for t in b.column(1)], pa.list_(pa.int32()))], names=["label", "terms"])
 
-    got = sample.select("label", "text").mapInArrow(cut, "label int, terms array<int>").toArrow()
+    rows = written(sample.select("label", "text").mapInArrow(cut, "label int, terms array<int>"), "labelled-terms")
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if toxic in (0, n):
+        return fit([np.zeros(0, np.int64)] * n, np.full(n, int(toxic > 0)), np.ones(n), np.zeros(0, np.int64))
+    terms = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
+    terms = terms.filter(F.col("n") >= LEAST_TEXTS).withColumn("ratio", told_apart(F.col("n"), F.col("toxic"), n, toxic))
+    alone = [r[0] for r in terms.filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).select("term").collect()]
+    paired = [r[0] for r in terms.orderBy(F.desc(F.least(F.col("n"), F.lit(n) - F.col("n"))), "term").limit(PAIR_TERMS).select("term").collect()]
+    alone, paired = (np.array(sorted(x), np.int64) for x in (alone, paired))
+    shared = docs.sparkSession.sparkContext.broadcast(np.union1d(alone, paired))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = shared.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[np.isin(t, some)] for t in (x.values.to_numpy() for x in b.column(1))], pa.list_(pa.int32()))], names=["label", "terms"])
+
+    got = rows.mapInArrow(kept, rows.schema).toArrow()
     labels_, lists = got.column(0).to_numpy(), [x.values.to_numpy().astype(np.int64) for x in got.column(1)]
     order = sorted(range(len(lists)), key=lambda i: (labels_[i], len(lists[i]), lists[i].tobytes()))  # whatever the partitions
-    y = labels_[order] if len(order) else np.zeros(0)
-    return fit([lists[i] for i in order], y, np.array([stands_for.get(int(k), 1.0) for k in y]))
+    y, lists = labels_[order], [lists[i] for i in order]
+    chosen = np.union1d(alone, interacting(lists, y, paired))
+    return fit(lists, y, np.array([stands_for.get(int(k), 1.0) for k in y]), chosen)
 
 
 class Scorer:

@@ -76,7 +76,7 @@ def test_without_labels(spark, hostile):
 
 def test_urls(spark):
     urls = [None, "", "nourl", "://", "http://", "HTTP://A.B.Net/x?y#z", "http://net", "http://net/", "https://x.example.net/en/1", "https://example.net/enx", "ftp://a.org/fr/", "http://aorg/fr/",
-            "http://spam-farm.example.org/en/5?u=1", "https://www.spam-farm.example.org/en/5.html#t", "http://spam-farm.example.org/fr/1", "a\n://Ü.COM:80/p\nq"]
+            "http://shop.example.org/en/5?u=1&ref=x#y", "https://www.shop.example.org/en/5.html#t", "http://shop.example.org/fr/1?ref=x", "a\n://Ü.COM:80/p\nq"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(13, urls[13]), (None, urls[12])], "page_id bigint, url string").withColumn("canon", F.lit("x")).withColumn("k", F.lit(1)).withColumn("hit", F.lit(0))
     got = {r["page_id"]: r for r in url_filter.judge_pages(pages).collect()}
     assert url_filter.judge_pages(pages).count() == len(urls) + 2
@@ -87,3 +87,31 @@ def test_urls(spark):
     assert row(12)[2:] == (None, "block") and row(13)[2:] == (None, "block") and row(14)[2:] == ("org/fr/", "allow")
     assert row(15) == ("Ü.com:80", "/p\nq", None, "allow") and got[None]["verdict"] == "block"
     assert url_filter.judge_pages(pages.limit(0)).collect() == []
+    other = {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(spark.createDataFrame([(1, "http://a.com/x?xref=1"), (2, "http://a.com/y#?ref=1"), (3, "http://a.com/z?ref=1"), (4, "http://m.a.com/z.html/"), (5, "ref=1?ref=2")], "page_id bigint, url string")).collect()}
+    assert other == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_a_hot_url_stays_where_it_is(spark):
+    """A third of the pages share one url that is listed: they meet its verdict in a broadcast table, not in one task."""
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://hot.com/a?ref=1").otherwise(F.concat(F.lit("http://h.com/"), "id")).alias("url"))
+    got = url_filter.judge_pages(pages)
+    assert got.filter("verdict = 'block'").count() == 2000 and got.count() == 6000
+    assert got.filter("verdict = 'block' AND host <> 'hot.com'").count() == 0
+    names = {r["canon"]: r["n"] for r in url_filter.listed_among(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "canon string"), "canon", spark.createDataFrame([("a",)], "k string"), "k").collect()}
+    assert names == {"a": 2}
+
+
+def test_rows_without_an_id_spread_over_slot_buckets(spark):
+    """A third of the rows have no id, so one shard; their slots are numbered in many buckets, and any hash gives u below 1."""
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    got = sharding.shard_documents(docs, 24).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == 6000
+    shard = {r["shard"] for r in got if r["doc_id"] is None}
+    assert len(shard) == 1 and len({r["grown_shard"] for r in got if r["doc_id"] is None}) == 1
+    names = ["doc_id", "size", "text_crc32", "shard", "grown_shard"]
+    spread = spark.createDataFrame([tuple(r[c] for c in names) for r in got if r["doc_id"] is None], "doc_id bigint, size bigint, text_crc32 bigint, shard int, grown_shard int")
+    assert spread.select(F.pmod(F.xxhash64(*names), F.lit(sharding.SLOT_BUCKETS)).alias("b")).distinct().count() > 500
+    assert (2**52 - 1 + 0.5) * 2.0**-52 < 1

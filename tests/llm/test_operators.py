@@ -33,6 +33,32 @@ def test_shards(spark, hostile):
     assert by_id[1]["size"] == 8 and by_id[0]["size"] == 8 and by_id[3]["size"] == 12 and by_id[3]["text_crc32"] == crc("word")
 
 
+def test_shards_against_brute_force(spark):
+    """Scores worked out row by row: XXH64 of the key, seeded by the hash of what comes before as Spark chains it."""
+    ids = [0, 1, 7, -3, 12345678901, None]
+    weights = [1.0, 2.0, 0.0, 0.5, 1.0]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    got = [r[0] for r in df.select(sharding.shard_of(F.col("doc_id"), weights)).collect()]
+    for i, shard in zip(ids, got):
+        scores = {}
+        for k, w in enumerate(weights):
+            first = xxh64_intdigest(("\x00null" if i is None else str(i)).encode(), 42)
+            h = xxh64_intdigest_of_int(k, first) >> 12
+            scores[k] = -w / np.log((h + 0.5) * 2.0**-52)
+        assert shard == max(sorted(scores), key=scores.get)
+
+
+def xxh64_intdigest_of_int(value, seed):
+    """Spark hashes an int as four bytes by the tail rounds of XXH64."""
+    mask, p1, p2, p3, p5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
+    h = (seed + p5 + 4) & mask
+    h ^= ((value & 0xFFFFFFFF) * p1) & mask
+    h = ((h << 23 | h >> 41) & mask) * p2 + p3 & mask
+    h = (h ^ h >> 33) * p2 & mask
+    h = (h ^ h >> 29) * p3 & mask
+    return h ^ h >> 32
+
+
 def test_weights_and_growth(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     count = lambda w: Counter({r[0]: r[1] for r in sharding.assign_shards(ids, "doc_id", w).groupBy("shard").count().collect()})
@@ -138,6 +164,8 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
     assert components.components(edges.limit(0)).collect() == []
+    by_rounds = {r["node"]: r["root"] for r in components.components(edges, few=0).collect()}
+    assert by_rounds == got and components.components(edges.limit(0), few=-1).collect() == []
 
 
 # ---- 5 URLs
@@ -146,7 +174,7 @@ def test_components_of_a_long_chain(spark):
 def test_bloom_passes_every_listed_url(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h.com/"), "id").alias("k"))
     urls = spark.range(1000, 9000).select(F.concat(F.lit("h.com/"), "id").alias("u")).unionByName(spark.createDataFrame([("h.com/1",)] * 50 + [(None,)], "u string"))
-    got = {r[0] for r in url_filter.listed_among(urls, "u", keys.unionByName(keys), "k").collect()}
+    got = {r["u"] for r in url_filter.listed_among(urls, "u", keys.unionByName(keys), "k").collect()}
     assert got == {f"h.com/{i}" for i in [1, *range(1000, 3000)]}
     small = url_filter.bloom(keys, "k", 72)
     assert small.count() == 72 and small.select(F.bit_count("w0")).agg(F.max("bit_count(w0)")).first()[0] < 64
@@ -247,14 +275,47 @@ def test_index_persists(spark, tmp_path):
     path = str(tmp_path / "index")
     batch = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, text string")
     index = exact_dedup.DigestIndex(spark, path, 4)
-    assert sorted(r[0] for r in index.admit(batch((1, "a"), (2, "a"), (3, "b"), (3, "b"), (4, None))).collect()) == [2, 3, 4]
-    spark.sql(f"DROP TABLE {index.name}")
-    again = exact_dedup.DigestIndex(spark, path, 4)
-    assert again.rows().count() == 3
-    assert [r[0] for r in again.admit(batch((9, "b"), (8, "c"), (7, ""))).collect()] == [8]
-    assert again.admit(batch((5, "zz")).limit(0)).count() == 0 and again.rows().count() == 4
+    assert sorted(r[0] for r in index.admit(batch((1, "a"), (2, "a"), (3, "b"), (3, "b"), (4, None)), "one").collect()) == [2, 3, 4]
+    index.close()
+    again = exact_dedup.DigestIndex(spark, path, 16)
+    assert again.rows().count() == 3 and again.buckets == 4
+    assert [r[0] for r in again.admit(batch((9, "b"), (8, "c"), (7, "")), "two").collect()] == [8]
+    assert again.admit(batch((5, "zz")).limit(0), "three").count() == 0 and again.rows().count() == 4
     plan = again.new_rows(batch((1, "q")).select(exact_dedup.digest().alias("digest")))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # the index side isn't shuffled
+    report = {r["doc_id"]: r for r in exact_dedup.dedup_report(batch((20, "a"), (21, "new"), (22, "new")), again, "four").collect()}
+    assert [(report[i]["keep_id"], report[i]["kept"]) for i in (20, 21, 22)] == [(2, False), (22, False), (22, True)]
+
+
+def test_reopened_with_other_buckets(spark, tmp_path):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    for made, opened in ((8, 4), (4, 8)):
+        exact_dedup.DigestIndex(spark, f"{tmp_path}/{made}", made).admit(docs, "one")
+        index = exact_dedup.DigestIndex(spark, f"{tmp_path}/{made}", opened)
+        assert index.rows().count() == 200 and index.admit(docs, "two").count() == 0 and index.rows().count() == 200
+
+
+def test_a_batch_run_again_loses_and_repeats_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([("x", "a"), ("y", "a"), ("z", "b")], "doc_id string, text string")  # text ids
+    index = exact_dedup.DigestIndex(spark, str(tmp_path), 4)
+    index.admit(docs.filter("doc_id = 'z'"), "zero")
+    want = [("y", "a")]
+    assert [tuple(r) for r in index.admit(docs, "one").collect()] == want  # its rows may be lost behind this
+    assert [tuple(r) for r in index.admit(docs, "one").collect()] == want and index.rows().count() == 2
+    assert index.admit(docs, "two").count() == 0
+    both = docs.unionByName(spark.createDataFrame([("w", "c"), ("v", "b")], docs.schema))
+    halves = exact_dedup.DigestIndex(spark, f"{tmp_path}/halves", 4)
+    parts = [halves.admit(both.filter(f"doc_id {c} 'y'"), c).collect() for c in ("<", ">=")]
+    assert sorted(r["text"] for x in parts for r in x) == sorted(r["text"] for r in exact_dedup.drop_copies(both).collect()) == ["a", "b", "c"]
+
+
+def test_copies_of_one_row(spark):
+    rows = [(1, "a")] * 3 + [(0, "a"), (None, "a"), (None, "b"), (None, "b")]
+    got = exact_dedup.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    key = lambda x: -1 if x is None else x
+    assert sorted((key(r["doc_id"]), key(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == [
+        (-1, -1, 2, False), (-1, -1, 2, True), (-1, 1, 5, False), (0, 1, 5, False), (1, 1, 5, False), (1, 1, 5, False), (1, 1, 5, True)
+    ]
 
 
 def test_without(spark):
@@ -287,7 +348,7 @@ def brute_leaks(docs, items):
     return out
 
 
-def test_leaks_against_brute_force(spark, monkeypatch):
+def test_leaks_against_brute_force(spark):
     rnd = random.Random(21)
     items = [(i, prose(rnd, rnd.choice([1, 3, 4, 5, 6, 12, 25, 40, 80]))) for i in range(40)] + [(90, None), (91, "..."), (92, "loop " * 12)]
     docs = [(i, prose(rnd, rnd.choice([0, 2, 30, 200]))) for i in range(60)]
@@ -302,9 +363,8 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     want = brute_leaks(docs, items)
     assert sum(s < 1 for s, _ in want.values()) > 5
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    for in_place in (200_000, 0):
-        monkeypatch.setattr(decontamination, "IN_PLACE", in_place)
-        got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontamination.leaks(d, b).collect()}
+    for part in (250_000, 300):  # whole, and in several parts
+        got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontamination.leaks(d, b, part_shingles=part).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] >= want[k][1] for k in want)
     assert decontamination.leaks(d, b.limit(0)).collect() == []
@@ -348,42 +408,47 @@ def test_toxicity_learns_an_interaction(spark):
     assert kept.columns == d.columns and 0.7 < kept.count() / 1600 < 0.8
 
 
-def brute_phrases(text, reference):
-    n = i = 0
-    while i < len(text):
-        k = 1
-        while i + k <= len(text) and text[i : i + k] in reference:
-            k += 1
-        i += max(1, k - 1)
-        n += 1
-    return n
+def brute_bytes(text):
+    """Lower-case letters in UTF-8, runs of anything else as one zero byte."""
+    folded = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    return re.sub("\0+", "\0", "".join(f if c.isalpha() else "\0" for c, f in zip(text, folded))).encode()
+
+
+def brute_phrases(own, reference, known):
+    """Phrases of a lane: the longest that the reference holds; a byte that it lacks is no phrase of its own but ends one."""
+    n, state = 0, b""
+    for c in own:
+        c = bytes([c]) if c in known or not c else b"\xff"
+        if state + c in reference:
+            state += c
+        else:
+            n += 1
+            state = c if c in reference else b""
+    return n + bool(state)
 
 
 def test_cross_parsing_against_brute_force():
+    """Phrases over lane borders, the costs and the winner, in scripts of one to four bytes a letter."""
     rnd = random.Random(8)
-    samples = {"xx": [prose(rnd, 200)], "yy": [" ".join("aeiou"[rnd.randrange(5)] * 2 + rnd.choice("bcdfg") for _ in range(300))]}
+    scripts = {"han": range(0x4E00, 0x5200), "hangul": range(0xAC00, 0xB100), "deseret": range(0x10428, 0x10450), "greek": range(0x3B1, 0x3C9)}
+    write = lambda k, n: " ".join("".join(chr(rnd.choice(scripts[k])) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    samples = {k: [write(k, 150) for _ in range(3)] for k in scripts} | {"xx": [prose(rnd, 200)], "yy": [" ".join("aeiou"[rnd.randrange(5)] * 2 + rnd.choice("bcdfg") for _ in range(300))]}
     model = language.fit(samples)
     parser = language.Parser(model)
-    lut = language.codes_of(model.alphabet)
-    texts = [prose(rnd, 30), "aab eec iid!! oof", "ZZZ qqq", "", "ÀÉ ß", "a"]
-    texts = [t[: language.LANE] for t in texts]
+    texts = [prose(rnd, 300), "aab eec iid!! oof", "ZZZ qqq", "", "ÀÉ ß Ǆ İ", "a", "1 2", *(write(k, n) for k in scripts for n in (3, 200)), *(samples[k][0][100:700] for k in scripts)]
     found, sizes, _ = parser.phrases(texts)
-    for k, lang in enumerate(model.languages):
-        ref = "".join(map(chr, language.symbols([t + "\n" for t in samples[lang]], lut)[0] + 65))
-        for i, t in enumerate(texts):
-            own = "".join(map(chr, language.symbols([t], lut)[0] + 65))
-            assert len(own) == sizes[i]
-            # A symbol that the reference lacks ends a phrase and is none of its own; an open phrase counts at the end.
-            n, at = 0, 0
-            state = ""
-            for c in own:
-                if state + c in ref:
-                    state += c
-                else:
-                    n += 1
-                    state = c if c in ref else ""
-            assert found[k][i] == n + bool(state), (lang, t)
-            assert brute_phrases(own, ref) >= n
+    names, scores = parser.judge(texts)
+    for i, t in enumerate(texts):
+        own, cost = brute_bytes(t), {}
+        assert len(own) == sizes[i]
+        for k, lang in enumerate(model.languages):
+            ref = language.reference_of(samples[lang], language.REFERENCE).tobytes()
+            n = sum(brute_phrases(own[a : a + language.LANE], ref, model.alphabet) for a in range(0, len(own), language.LANE))
+            assert found[k][i] == n, (lang, t[:50])
+            cost[lang] = n * np.log2(len(ref)) / max(1, len(own))
+        has = any(c.isalpha() for c in t)
+        assert names[i] == (min(sorted(cost), key=cost.get) if has else "und") and 0 <= scores[i] <= 1
+    assert names[-4:] == list(scripts) and all(len(model.languages) == 6 for _ in names)
 
 
 def test_languages_on_held_out_rows(spark):
