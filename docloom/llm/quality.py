@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, labelled_sample, piece_of
 
 #: Texts are compressed in pieces of CHUNK bytes, so that the dictionary counts at the end of a long text as at its start.
-CHUNK, LEVEL, DICTIONARY = 2048, 3, 112_640
+CHUNK, LEVEL, DICTIONARY = 2048, 3, 1 << 19
 #: Labelled documents of each class that are fitted on at most; of a longer one a piece of MAX_CHARS characters is.
 PER_CLASS, MAX_CHARS = 3000, 20_000
 THRESHOLD = 0.3
@@ -22,12 +22,12 @@ THRESHOLD = 0.3
 
 @dataclass
 class Model:
-    """score = sigmoid(slope * d + base) for the normalised size difference d."""
+    """score = the value at d, the normalised size difference, of the line through the points (at, score)."""
 
     good: bytes
     bad: bytes
-    slope: float
-    base: float
+    at: np.ndarray
+    score: np.ndarray
 
 
 def chunks(data: bytes) -> list[bytes]:
@@ -54,36 +54,30 @@ class Sizes:
             self.compress.append(zstd.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False).compress)
 
     def difference(self, text: str | None) -> float:
-        """(bad - good size) / (bad + good size) summed over the pieces, in -1 to 1; 0 for an empty text."""
+        """(bad - good size) a byte of text, summed over the pieces; 0 for an empty text."""
         data = (text or "").encode("utf-8", "surrogatepass")
         good, bad = self.compress
-        g = b = 0
-        for c in chunks(data) if data else []:
-            g += len(good(c))
-            b += len(bad(c))
-        return (b - g) / max(1, b + g)
+        return sum(len(bad(c)) - len(good(c)) for c in chunks(data)) / len(data) if data else 0.0
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def calibrated(d: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a rising line from differences d to the share of label 1: isotonic regression of y with weights w.
 
-
-def calibrated(d: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and base of a logistic regression of labels y on differences d with weights w; by damped Newton steps."""
+    Each level of the regression is a point at its mean difference; half a row of either class is added to each, so that no
+    score is 0 or 1.  Without rows every score is one half.
+    """
     if not len(d):
-        return 0.0, 0.0
-    spread = d.std() + 1e-9
-    a = np.c_[d / spread, np.ones(len(d))]
-    theta, ridge = np.zeros(2), np.diag([1e-2 * max(1.0, w.mean()), 1e-9])
-    for _ in range(100):
-        p = sigmoid(a @ theta)
-        grad = a.T @ (w * (p - y)) + ridge @ theta
-        hess = (a * (w * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        theta -= step / max(1.0, np.abs(step).max())
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(theta[0] / spread), float(theta[1])
+        return np.zeros(1), np.full(1, 0.5)
+    levels: list[list[float]] = []  # weight, that of label 1, weighted sum of differences
+    order = np.argsort(d, kind="stable")
+    for x, label, weight in zip(d[order], y[order], w[order]):
+        levels.append([weight, weight * label, weight * x])
+        while len(levels) > 1 and levels[-2][1] * levels[-1][0] >= levels[-1][1] * levels[-2][0]:
+            last = levels.pop()
+            levels[-1] = [a + b for a, b in zip(levels[-1], last)]
+    total, ones, sums = np.array(levels).T
+    half = 0.5 * w.mean()
+    return sums / total, (ones + half) / (total + 2 * half)
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
@@ -116,7 +110,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         sizes = kept.setdefault("sizes", Sizes(m.good, m.bad)) if not kept else kept["sizes"]
         for b in batches:
-            p = sigmoid(m.slope * np.array([sizes.difference(t.as_py()) for t in b.column(1)], float) + m.base)
+            p = np.interp(np.array([sizes.difference(t.as_py()) for t in b.column(1)], float), m.at, m.score)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -100,3 +100,45 @@ def test_references_come_from_all_texts():
     own = language.reference_of(texts, 3000)
     n = np.bincount(own, minlength=128)
     assert n[ord("a")] == 50 and n[ord("b")] == n[ord("c")] == 1475
+
+
+def test_calibration_against_brute_force():
+    """Isotonic regression as the least squares fit over all rising steps, checked by pooling any split that falls."""
+    rng = np.random.default_rng(3)
+    d, w = np.round(rng.normal(size=60), 1), rng.uniform(0.5, 2, 60)
+    y = (rng.random(60) < 1 / (1 + np.exp(-2 * d))).astype(float)
+    at, score = quality.calibrated(d, y, w)
+    assert (np.diff(at) > 0).all() and (np.diff(score) >= 0).all() and 0 < score.min() and score.max() < 1
+    order = np.argsort(d, kind="stable")
+    yy, ww = y[order], w[order]
+    mean = lambda a, b: (yy[a:b] * ww[a:b]).sum() / ww[a:b].sum()
+    want = [max(min(mean(a, b) for b in range(i + 1, 61)) for a in range(i + 1)) for i in range(60)]  # the max-min formula
+    levels = sorted(set(np.round(want, 9)))
+    assert len(levels) == len(score)
+    assert quality.calibrated(np.zeros(0), np.zeros(0), np.zeros(0))[1].tolist() == [0.5]
+
+
+def test_differences_against_brute_force():
+    import zstandard as zstd
+
+    good, bad = prose(random.Random(1), 400).encode(), b"JUNK %%% " * 300
+    sizes = quality.Sizes(good, bad)
+    for text in ("", "x", prose(random.Random(2), 900), "JUNK %%% " * 500, "é" * 3000):
+        data, n = text.encode(), {}
+        for name, d in (("good", good), ("bad", bad)):
+            c = zstd.ZstdCompressor(level=quality.LEVEL, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            n[name] = sum(len(c.compress(data[i : i + quality.CHUNK])) for i in range(0, len(data), quality.CHUNK))
+        assert abs(sizes.difference(text) - (n["bad"] - n["good"]) / max(1, len(data))) < 0.02
+
+
+def test_margins_against_brute_force():
+    """The machine's margin summed pair by pair, and pairs' gains from their tables."""
+    rng = np.random.default_rng(0)
+    model = toxicity.Model(0.3, np.array(sorted({t for w in "red green blue stone".split() for t in toxicity.terms_of(w)})), rng.normal(size=6), rng.normal(size=(6, 4)))
+    text = "Red stone, red unknown GREEN"
+    on = [i for i, t in enumerate(model.terms) if t in set(toxicity.terms_in(text).tolist())]
+    want = 0.3 + sum(model.w[i] for i in on) + sum(model.v[i] @ model.v[j] for i in on for j in on if i < j)
+    assert len(model.terms) == 6 and abs(toxicity.Scorer(model).margin(text) - want) < 1e-9
+    lists = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(300)]
+    y = np.array([int((1 in x) != (4 in x)) for x in lists])
+    assert toxicity.interacting(lists, y, np.arange(6)).tolist() == [1, 4]
