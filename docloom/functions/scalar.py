@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import secrets
 import string
 import struct
@@ -96,9 +95,21 @@ def random_name(n: int) -> str:
     return "".join(secrets.choice(string.ascii_letters + string.digits) for _ in range(n))
 
 
-def file_exists(path: str) -> bool:
-    return os.path.exists(path)
+def _little_endian(n: Column, size: int) -> Column:
+    """The hex digits of a whole number's lowest bytes, the lowest first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)])
 
 
-def dir_exists(path: str) -> bool:
-    return os.path.isdir(path)
+def table_key(name: Column) -> Column:
+    """The key of a table's name, as bytes."""
+    return F.encode(F.concat(F.lit("T"), name), "UTF-8")
+
+
+def position_key(table: Column, row_id: Column) -> Column:
+    """The key of a row in a numbered table, as bytes."""
+    return F.unhex(F.concat(F.lit("50"), _little_endian(table, 2), F.hex(F.encode(row_id, "UTF-8"))))
+
+
+def location(table: Column, section: Column, offset: Column, size: Column) -> Column:
+    """The twelve bytes of a row's location."""
+    return F.unhex(F.concat(_little_endian(table, 2), _little_endian(section, 2), _little_endian(offset, 4), _little_endian(size, 4)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder that the session names in spark.checkpoint.dir, or a temporary one without it."""
+    """A new path under the shared folder that the session names in spark.checkpoint.dir.
+
+    Without it, a session whose executors are threads of the driver gets a temporary folder; any other is refused, for its
+    executors would each write to a folder of their own machine.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.mkdtemp(prefix='docloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="docloom-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,7 +49,7 @@ class Files:
         """
         if self.exists(path):
             return False
-        part = f"{path}.{id(self)}.part"
+        part = f"{path}.{uuid.uuid4().hex}.part"
         out = self.fs.create(self._path(part), True)
         out.write(bytearray(text.encode("utf-8")))
         out.close()
@@ -58,6 +59,19 @@ class Files:
         return False
 
 
+    def is_dir(self, path: str) -> bool:
+        return self.exists(path) and self.fs.getFileStatus(self._path(path)).isDirectory()
+
+    def copy(self, source: str, target: str) -> int:
+        """Copies a file's bytes to a new file, on this file system; how many they were."""
+        read, write = self.fs.open(self._path(source)), self.fs.create(self._path(target), False)
+        try:
+            return self._bytes.copyLarge(read, write)
+        finally:
+            read.close()
+            write.close()
+
+
 class Conflict(RuntimeError):
     """Another writer committed first; read again and repeat."""
 

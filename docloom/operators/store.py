@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.parse
 import uuid
 from dataclasses import dataclass
 
@@ -11,15 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.scalar import EDGE, VERTEX, kind_of_table, label_of_table
 from ..plans import index_path
 from ..plans.predicates import compile_leaf
-from ..plans.resolve import VariantResolver, VariantValue
+from ..plans.resolve import IndexedValue, VariantResolver, VariantValue
 from .files import Catalog, Conflict, Files
 from .table import DocTable
 
 ROWS = "_id string, doc variant, _seq bigint"
 #: A load's number stands above its rows' positions in _seq.
 POSITION_BITS = 40
-#: Compaction is due when more of the stored rows are deleted.
-DELETED_RATIO = 0.2
+#: Compaction is due when more of the stored rows are deleted, or when a table consists of more loads.
+DELETED_RATIO, MOST_LOADS = 0.2, 32
+#: Rows a file at most; where rows are shuffled before they are written, files also get Spark's advisory partition size.
+FILE_ROWS = 4_000_000
 #: An anti join broadcasts the keys of a table up to this many bytes of files.
 SMALL_BYTES = 8 << 20
 
@@ -28,6 +31,10 @@ class TableNotFound(KeyError):
     pass
 
 
+class _Stale(RuntimeError):
+    """What a load has read of a table is no longer so."""
+
+
 class IndexExists(ValueError):
     pass
 
@@ -52,7 +59,8 @@ class LoadResult:
 
 class DocStore:
     """Opens or creates a store.  Every change writes new files and then commits one catalog version, so readers see whole
-    changes only and a lost job leaves nothing but unused files.  Of two writers at once the later gets `Conflict`."""
+    changes only and a lost job leaves nothing but unused files.  Of two writers at once the later one's change is made again
+    on what the earlier has left, or `Conflict` is raised after some tries."""
 
     def __init__(self, spark: SparkSession, root: str, create: bool = True):
         self.spark, self.files = spark, Files(spark, root)
@@ -114,30 +122,41 @@ class DocStore:
 
     def _rows(self, info: dict) -> DataFrame:
         """The live rows: all loads' files in one scan, less the deleted ids where any are."""
-        rows = self._stored(info)
-        if info["deletes"]:
-            gone = self.spark.read.schema("_id string, _upto bigint").parquet(*[self.files.at(p) for p in info["deletes"]])
-            gone = gone.groupBy("_id").agg(F.max("_upto").alias("_upto"))
-            rows = rows.join(gone.withColumnRenamed("_id", "gone"), (F.col("_id") == F.col("gone")) & (F.col("_seq") <= F.col("_upto")), "left_anti")
-        return rows
+        return self._less(self._stored(info), info["deletes"], "_id")
 
     def _stored(self, info: dict) -> DataFrame:
-        if not info["loads"]:
+        return self._read(info["loads"])
+
+    def _read(self, loads: list[str]) -> DataFrame:
+        if not loads:
             return self.spark.createDataFrame([], "_id string, doc string, _seq bigint").select("_id", F.try_parse_json("doc").alias("doc"), "_seq")
-        return self.spark.read.schema(ROWS).parquet(*[self.files.at(p) for p in info["loads"]])
+        return self.spark.read.schema(ROWS).parquet(*[self.files.at(p) for p in loads])
+
+    def _less(self, rows: DataFrame, deletes: list[str], key: str, own: str = "_id") -> DataFrame:
+        """rows (key, _seq, ..) less those that a delete lists (own, _upto) with a later number."""
+        if not deletes:
+            return rows
+        gone = self.spark.read.schema(f"{own} string, _upto bigint").parquet(*[self.files.at(p) for p in deletes])
+        gone = gone.groupBy(F.col(own).alias("gone")).agg(F.max("_upto").alias("_upto"))
+        return rows.join(gone, (F.col(key) == F.col("gone")) & (F.col("_seq") <= F.col("_upto")), "left_anti")
 
     def drop(self, name: str) -> None:
         """Removes a table, its files and its indexes."""
         info = self._info(name)
+        entries = [i for i in self.state()["indexes"] if i["table"] == name]
 
         def change(s):
             s["tables"].pop(name, None)
             s["indexes"] = [i for i in s["indexes"] if i["table"] != name]
 
         self._change(change)
-        for p in [*info["loads"], *info["deletes"]]:
+        for p in [*info["loads"], *info["deletes"], *(p for e in entries for p in _index_files(e))]:
             self.files.delete(self.files.at(p))
 
+    def load_count(self, name: str) -> int:
+        """How many loads a table consists of; 0 if there is no such table."""
+        return len(self.state()["tables"].get(name, {"loads": []})["loads"])
+
     def column_names(self, dedupe: bool = True) -> DataFrame:
         """column_name of all tables; each once, or as often as tables declare it."""
         rows = [(c,) for t in self.state()["tables"].values() for c in t["columns"]]
@@ -164,13 +183,17 @@ class DocStore:
         own = rows.select(F.lit(name).alias("table_name"), F.col(id_col).alias("id"), F.col(doc).alias("data"), *([F.col(order).alias("position")] if order else []))
         return self.bulk_load(own, order="position" if order else None, if_absent=False)
 
-    def bulk_load(self, rows: DataFrame, order: str | None = None, if_absent: bool = True) -> LoadResult:
-        """Loads (table_name, id, data) rows into their tables, made where needed, in one job and one commit.
+    def bulk_load(self, rows: DataFrame, order: str | None = None, if_absent: bool = True, tries: int = 5, file_rows: int = FILE_ROWS) -> LoadResult:
+        """Loads (table_name, id, data) rows into their tables, made where needed, in one commit.
 
         data is JSON text, a VARIANT or a struct.  With if_absent, ids that a table has when the load starts are left out;
         an id that comes several times within the load is stored as often, and the row with the largest order is latest
         (without order, the one with the largest hash of its data).  Rows that no table can take (no id, a name under two
         characters, malformed JSON) are returned with a reason and don't keep the others from being stored.
+
+        Only the tables that the load names are read; what it costs goes with them and the load, not with the store.  If a
+        table changes between that reading and the commit, the load is made again on the changed table, tries times at most.
+        Stored indexes of the tables get the new rows' entries in the same commit.
         """
         kind = rows.schema["data"].dataType.typeName()
         text_in = kind == "string"
@@ -187,28 +210,56 @@ class DocStore:
         rejected = marked.filter(F.col("reason").isNotNull()).select("table_name", F.col("_id").alias("id"), F.col("text").alias("data"), "reason")
         good = marked.filter(F.col("reason").isNull())
 
-        state = self.state()
-        known = [n for n in state["tables"] if state["tables"][n]["loads"]]
-        if if_absent and known:
-            have, size = None, 0
-            for n in known:
-                own = self._rows(state["tables"][n]).select(F.lit(n).alias("table_name"), "_id")
+        names = [r[0] for r in rows.select("table_name").distinct().collect()]
+        for left in reversed(range(tries)):
+            try:
+                load, inserted = self._load(good, names, if_absent, file_rows)
+                return LoadResult(load, inserted, rejected, good)
+            except _Stale as e:
+                if not left:
+                    raise Conflict(f"{e} was changed by others {tries} times while rows were loaded") from None
+        raise ValueError("at least one try is needed")
+
+    def _load(self, good: DataFrame, names: list, if_absent: bool, file_rows: int) -> tuple[int, int]:
+        """One try of a load: its number and how many rows it stored."""
+        tables = self.state()["tables"]
+        seen = {n: tables[n] for n in names if n in tables}
+        have, size = None, 0
+        for n, info in seen.items():
+            if if_absent and info["loads"]:
+                own = self._rows(info).select(F.lit(n).alias("table_name"), "_id")
                 have = own if have is None else have.unionByName(own)
-                size += sum(self.files.size(self.files.at(p)) for p in state["tables"][n]["loads"])
-            have = have.distinct()
-            good_new = good.join(F.broadcast(have) if size <= SMALL_BYTES else have, ["table_name", "_id"], "left_anti")
-        else:
-            good_new = good
+                size += sum(self.files.size(self.files.at(p)) for p in info["loads"])
+        if have is not None:
+            good = good.join(F.broadcast(have) if size <= SMALL_BYTES else have, ["table_name", "_id"], "left_anti")
         load = self._change(_next_load)
         path = f"loads/{load:08d}-{uuid.uuid4().hex[:8]}"
         seq = F.lit(load << POSITION_BITS).cast("long") + F.coalesce("pos", F.lit(0))
-        out = good_new.select("table_name", "_id", "doc", seq.alias("_seq"))
-        out.write.partitionBy("table_name").option("compression", "zstd").parquet(self.files.at(path))
+        out = good.select("table_name", "_id", "doc", seq.alias("_seq"))
+        if len(names) > 1:  # else each task would write a file for each table
+            out = out.hint("rebalance", F.col("table_name"))
+        out.write.partitionBy("table_name").option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(self.files.at(path))
         counts = self._partition_counts(path)
-        # Spark's partition folders have escaped names; the catalog keeps them as they are.
-        self._change(lambda s: _add_load(s, path, counts))
-        inserted = sum(c for _, _, c in counts)
-        return LoadResult(load, inserted, rejected, good)
+        parts = [(i["table"], i["field"], self._write_index(i, [folder])) for n, folder, _ in counts for i in self.state()["indexes"] if i["table"] == n and i["stored"]]
+
+        def commit(s):
+            for n, _, _ in counts:
+                now, then = (x.get(n) or _new_table(None) for x in (s["tables"], seen))
+                if now["deletes"] != then["deletes"] or (if_absent and now["loads"] != then["loads"]):
+                    raise _Stale(n)
+            _add_load(s, path, counts)
+            for name, field, part in parts:
+                for i in s["indexes"]:
+                    if (i["table"], i["field"]) == (name, field):
+                        i["parts"].append(part)
+
+        try:
+            self._change(commit)
+        except _Stale:
+            for p in [path, *(part["path"] for _, _, part in parts)]:
+                self.files.delete(self.files.at(p))
+            raise
+        return load, sum(c for _, _, c in counts)
 
     def _partition_counts(self, path: str) -> list[tuple[str, str, int]]:
         """(table, folder, rows) of a load; as many rows as there are tables come to the driver."""
@@ -231,6 +282,10 @@ class DocStore:
         ids.select(F.col("_id").cast("string").alias("_id"), F.lit((load << POSITION_BITS) - 1).cast("long").alias("_upto")).distinct().write.parquet(self.files.at(path))
         self._change(lambda s: self._info(name, s)["deletes"].append(path))
 
+    def delete_range(self, name: str, start: str | None = None, end: str | None = None, prefix: str | None = None) -> None:
+        """Deletes the rows whose id is start or more, less than end and begins with prefix, in one commit."""
+        self.delete(name, self.table(name).key_range(start, end, prefix).select("_id"))
+
     def stats(self, name: str) -> DataFrame:
         """total, deleted, live rows and the deleted share of a table's files; one row."""
         info = self._info(name)
@@ -240,32 +295,43 @@ class DocStore:
         gone = F.col("total") - F.col("live")
         return both.select("total", gone.alias("deleted"), "live", F.when(F.col("total") > 0, gone / F.col("total")).otherwise(F.lit(0.0)).alias("ratio"))
 
-    def compact(self, name: str, ratio: float = DELETED_RATIO, versions: str = "all", force: bool = False) -> bool:
-        """Rewrites a table's live rows if more than ratio of the stored ones are deleted; whether it did.
+    def compact(self, name: str, ratio: float = DELETED_RATIO, versions: str = "all", force: bool = False, most_loads: int = MOST_LOADS) -> bool:
+        """Rewrites a table's live rows if more than ratio of the stored ones are deleted or it has more than most_loads loads.
 
-        versions="latest" also drops rows that a later one of the same id hides.
+        Whether it did.  versions="latest" also drops rows that a later one of the same id hides.  Stored indexes are
+        written anew with it; if the table changes meanwhile, `Conflict` is raised and nothing is changed.
         """
         info = self._info(name)
-        if not force and self.stats(name).first()["ratio"] <= ratio:
+        if not force and len(info["loads"]) <= most_loads and (not info["deletes"] or self.stats(name).first()["ratio"] <= ratio):
             return False
         path = f"loads/compact-{uuid.uuid4().hex[:12]}"
-        DocTable(self._rows(info), name).versions(versions).select("_id", "doc", "_seq").write.option("compression", "zstd").parquet(self.files.at(path))
+        rows = DocTable(self._rows(info), name).versions(versions).select("_id", "doc", "_seq").hint("rebalance")
+        rows.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(self.files.at(path))
+        entries = [i for i in self.state()["indexes"] if i["table"] == name and i["stored"]]
+        parts = {i["field"]: self._write_index(i, [path]) for i in entries}
 
         def change(s):
-            now = self._info(name, s)
-            if now != info:
+            if self._info(name, s) != info:
                 raise Conflict(f"{name} changed while it was compacted")
-            now.update(loads=[path], deletes=[])
+            self._info(name, s).update(loads=[path], deletes=[])
+            for i in s["indexes"]:
+                if i["table"] == name:
+                    i["parts"] = [parts[i["field"]]] if i["field"] in parts else []
 
-        self._change(change, tries=1)
-        for p in [*info["loads"], *info["deletes"]]:
+        try:
+            self._change(change)
+        except Conflict:
+            for p in [path, *(part["path"] for part in parts.values())]:
+                self.files.delete(self.files.at(p))
+            raise
+        for p in [*info["loads"], *info["deletes"], *(p["path"] for i in entries for p in i["parts"])]:
             self.files.delete(self.files.at(p))
         return True
 
     # ---- secondary indexes
 
     def add_index(self, name: str, field: str) -> None:
-        """Registers an index on a table's field, the table made if need be.  It is a view of the table: always whole."""
+        """Registers an index on a table's field, the table made if need be.  It is a view of the table until `store_index`."""
         self.check_name(name)
         index_path(field)
 
@@ -273,7 +339,7 @@ class DocStore:
             if any(i["table"] == name and i["field"] == field for i in s["indexes"]):
                 raise IndexExists(f"{name}, {field}")
             s["tables"].setdefault(name, _new_table(None))
-            s["indexes"].append({"table": name, "field": field, "deletes": [], "stored": None})
+            s["indexes"].append({"table": name, "field": field, "deletes": [], "stored": False, "parts": []})
 
         self._change(change)
 
@@ -284,7 +350,7 @@ class DocStore:
             s["indexes"] = [i for i in s["indexes"] if (i["table"], i["field"]) != (name, field)]
 
         self._change(change)
-        for p in [*entry["deletes"], *([entry["stored"]["path"]] if entry["stored"] else [])]:
+        for p in _index_files(entry):
             self.files.delete(self.files.at(p))
 
     def indexes(self) -> DataFrame:
@@ -300,43 +366,71 @@ class DocStore:
                 return i
         raise IndexNotFound(f"{name}, {field}")
 
+    def _index_entries(self, name: str, field: str, rows: DataFrame) -> DataFrame:
+        """What an index holds of a table's rows, with the columns that lookups test."""
+        t = DocTable(rows, name)
+        value = VariantResolver(label=t.label, parse=index_path).value(field)
+        col = value.v if isinstance(value, VariantValue) else F.try_parse_json(F.to_json(F.array(value.col)))
+        if not isinstance(value, VariantValue):
+            col = F.try_variant_get(col, "$[0]", "variant")
+        return t.rows.select(col.alias("value"), F.col("_id").alias("row_id"), "_seq").select(*IndexedValue.columns(F.col("value")), "row_id", "_seq")
+
+    def _indexed(self, name: str, field: str) -> DataFrame:
+        """The live entries of an index: its stored parts, and a view of the loads that none covers."""
+        state = self.state()
+        entry, info = self._index(name, field, state), self._info(name, state)
+        parts = [p for p in entry["parts"] if set(p["of"]) <= set(info["loads"])]
+        covered = {x for p in parts for x in p["of"]}
+        rest = [x for x in info["loads"] if x not in covered]
+        rows = self._index_entries(name, field, self._read(rest)) if rest or not parts else None
+        if parts:
+            kept = self.spark.read.schema(f"{IndexedValue.COLUMNS}, row_id string, _seq bigint").parquet(*[self.files.at(p["path"]) for p in parts])
+            rows = kept if rows is None else kept.unionByName(rows)
+        return self._less(self._less(rows, info["deletes"], "row_id"), entry["deletes"], "row_id", "row_id")
+
     def index_rows(self, name: str, field: str) -> DataFrame:
         """label, field, value (VARIANT, null where the field is missing), row_id of an index."""
-        entry = self._index(name, field)
-        info = self._info(name)
-        if entry["stored"] and entry["stored"]["of"] == [info["loads"], info["deletes"]]:
-            rows = self.spark.read.schema("value variant, row_id string").parquet(self.files.at(entry["stored"]["path"]))
-        else:
-            t = DocTable(self._rows(info), name)
-            value = VariantResolver(label=t.label, parse=index_path).value(field)
-            col = value.v if isinstance(value, VariantValue) else F.try_parse_json(F.to_json(F.array(value.col)))
-            if not isinstance(value, VariantValue):
-                col = F.try_variant_get(col, "$[0]", "variant")
-            rows = t.rows.select(col.alias("value"), F.col("_id").alias("row_id"))
-        if entry["deletes"]:
-            gone = self.spark.read.schema("row_id string").parquet(*[self.files.at(p) for p in entry["deletes"]])
-            rows = rows.join(gone.distinct(), "row_id", "left_anti").select("value", "row_id")
-        return rows.select(F.lit(label_of_table(name)).alias("label"), F.lit(field).alias("field"), "value", "row_id")
+        return self._indexed(name, field).select(F.lit(label_of_table(name)).alias("label"), F.lit(field).alias("field"), "value", "row_id")
+
+    def _write_index(self, entry: dict, loads: list[str]) -> dict:
+        """A part of an index that covers some loads: under the table and field, in order of kind and value."""
+        at = [urllib.parse.quote(entry[k], safe="") for k in ("table", "field")]
+        path = f"indexes/table={at[0]}/field={at[1]}/{uuid.uuid4().hex[:12]}"
+        rows = self._index_entries(entry["table"], entry["field"], self._read(loads))
+        order = ["kind", "number", "text", "row_id"]
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(self.files.at(path))
+        return {"path": path, "of": loads}
 
     def store_index(self, name: str, field: str) -> None:
-        """Writes an index out, its rows in order of value; it is used until the table changes, then the view again."""
-        info = self._info(name)
-        path = f"indexes/{uuid.uuid4().hex[:12]}"
-        rows = self.index_rows(name, field).select("value", "row_id")
-        rows.repartitionByRange(F.to_json("value")).sortWithinPartitions(F.to_json("value"), "row_id").write.option("compression", "zstd").parquet(self.files.at(path))
-        self._change(lambda s: self._index(name, field, s).update(stored={"path": path, "of": [info["loads"], info["deletes"]]}, deletes=[]))
+        """Writes out what no part of an index covers yet; from then on loads add their rows' entries to it themselves."""
+        info, entry = self._info(name), self._index(name, field)
+        covered = {x for p in entry["parts"] for x in p["of"]}
+        rest = [x for x in info["loads"] if x not in covered]
+        part = self._write_index(entry, rest) if rest else None
+
+        def change(s):
+            i = self._index(name, field, s)
+            i["stored"] = True
+            if part and not any(set(part["of"]) & set(p["of"]) for p in i["parts"]):  # else another has stored it
+                i["parts"].append(part)
+
+        self._change(change)
 
     def delete_row_field(self, name: str, field: str, row_id: str) -> None:
-        """Takes one row out of an index, whatever its value; the row stays.  An id that isn't in the index changes nothing."""
+        """Takes one row out of an index, whatever its value; the row stays.
+
+        An id that isn't in the index changes nothing.  It stays out of the index, stored or not, until a row of that id is
+        loaded anew.
+        """
         self._index(name, field)
+        load = self._change(_next_load)
         path = f"index-deletes/{uuid.uuid4().hex[:12]}"
-        self.spark.createDataFrame([(row_id,)], "row_id string").coalesce(1).write.parquet(self.files.at(path))
+        self.spark.createDataFrame([(row_id, (load << POSITION_BITS) - 1)], "row_id string, _upto bigint").coalesce(1).write.parquet(self.files.at(path))
         self._change(lambda s: self._index(name, field, s)["deletes"].append(path))
 
     def ids_by_label_field(self, name: str, field: str, value, op: str = "EQ") -> DataFrame:
         """row_id of one table's index entries whose value the operator matches."""
-        own = self.index_rows(name, field)
-        return own.filter(compile_leaf(op, value, VariantValue(F.col("value")))[0]).select("row_id")
+        return self._indexed(name, field).filter(compile_leaf(op, value, IndexedValue())[0]).select("row_id")
 
     def ids_by_field(self, field: str, value, op: str = "EQ") -> DataFrame:
         """The same over all tables with an index on field; an id of two tables comes twice."""
@@ -348,7 +442,11 @@ class DocStore:
         return self.spark.createDataFrame([], "row_id string") if out is None else out
 
     def close(self) -> None:
-        self.spark.catalog.clearCache()
+        """Nothing is held open or cached, so there is nothing to let go of; the store can be used on."""
+
+
+def _index_files(entry: dict) -> list[str]:
+    return [*entry["deletes"], *(p["path"] for p in entry["parts"])]
 
 
 def _new_table(columns: list[str] | None) -> dict:

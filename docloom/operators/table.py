@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,10 @@ class DocTable:
         """Distinct ids in byte order."""
         return self.rows.select("_id").distinct().orderBy("_id")
 
+    def key_range(self, start: str | None = None, end: str | None = None, prefix: str | None = None) -> DataFrame:
+        """_id and doc of the rows whose id is start or more, less than end and begins with prefix, by id in byte order."""
+        return self.rows.filter(_in_range(F.col("_id"), start, end, prefix)).select("_id", "doc").orderBy("_id")
+
     def column_defs(self) -> list[str]:
         return list(self.columns)
 
@@ -89,6 +95,12 @@ class DocTable:
         return self.rows.join(ids.select(F.col(key).alias("_id")).distinct(), "_id", "left_semi").select("_id", "doc")
 
 
+def _in_range(key: Column, start: str | None, end: str | None, prefix: str | None) -> Column:
+    """The condition, in forms that a scan can push."""
+    parts = [c for x, c in ((start, key >= F.lit(start)), (end, key < F.lit(end)), (prefix, key.startswith(prefix or ""))) if x is not None]
+    return functools.reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
 def _column(value) -> Column:
     return value.v if hasattr(value, "v") else value.col
 
@@ -113,11 +125,25 @@ class TypedTable:
     def keys(self) -> DataFrame:
         return self.rows.select(F.col(self.id_col).cast("string").alias("_id")).distinct().orderBy("_id")
 
-    def get_many(self, ids: DataFrame, key: str = "_id") -> DataFrame:
-        """The wanted ids, left-joined to the table's rows, with an error where there is none."""
-        want = ids.select(F.col(key).alias("_wanted"))
+    def key_range(self, start: str | None = None, end: str | None = None, prefix: str | None = None) -> DataFrame:
+        """The rows whose id as text is start or more, less than end and begins with prefix, by id in byte order."""
+        key = F.col(self.id_col).cast("string")
+        return self.rows.filter(_in_range(key, start, end, prefix)).orderBy(key)
+
+    def get_many(self, ids, key: str = "_id", order: str | None = None) -> DataFrame:
+        """A row for each wanted id, in their order: _pos, _wanted, the table's columns, error (no row), columns null then.
+
+        ids is a list, or a DataFrame with the id column key and an optional column order for the position.
+        """
+        if not isinstance(ids, DataFrame):
+            kind = self.rows.schema[self.id_col].dataType.simpleString()
+            ids, key, order = self.rows.sparkSession.createDataFrame(list(enumerate(ids)), f"pos bigint, _id {kind}"), "_id", "pos"
+        pos = F.col(order).cast("long") if order else F.lit(None).cast("long")
+        want = ids.select(pos.alias("_pos"), F.col(key).alias("_wanted"))
         out = want.join(self.rows.withColumn("_there", F.lit(True)), F.col("_wanted") == F.col(self.id_col), "left")
-        return out.withColumn("error", F.when(F.col("_there").isNull(), F.concat(F.lit("no row "), F.col("_wanted").cast("string")))).drop("_there")
+        error = F.when(F.col("_there").isNull(), F.concat(F.lit("no row "), F.coalesce(F.col("_wanted").cast("string"), F.lit("null"))))
+        out = out.withColumn("error", error).drop("_there")
+        return out.orderBy("_pos") if order else out
 
     def column_defs(self) -> list[str]:
         return list(self.rows.columns)

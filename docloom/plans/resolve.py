@@ -66,19 +66,28 @@ class VariantValue:
     def is_num(self) -> Column:
         return self.tag.isin("BIGINT", "DOUBLE", "FLOAT") | self.tag.startswith("DECIMAL")
 
+    def is_str(self) -> Column:
+        return self.tag == "STRING"
+
+    def is_bool(self) -> Column:
+        return self.tag == "BOOLEAN"
+
+    def text(self) -> Column:
+        return self.as_("string")
+
     def number(self) -> Column:
-        return F.when(self.is_num() | (self.tag == "BOOLEAN"), self.as_("double")).when(self.tag == "STRING", text_number(self.as_("string")))
+        return F.when(self.is_num() | self.is_bool(), self.as_("double")).when(self.is_str(), text_number(self.text()))
 
     def same(self, c: object) -> Column:
         """Equal and of one type; null or false otherwise."""
         kind = kind_of(c)
         if kind == "str":
-            return (self.tag == "STRING") & (self.as_("string") == F.lit(c))
+            return self.is_str() & (self.text() == F.lit(c))
         if kind == "bool":
-            return (self.tag == "BOOLEAN") & (self.as_("boolean") == F.lit(c))
+            return self.is_bool() & (self.number() == F.lit(float(c)))
         if kind == "num":
             x = number_of(c)
-            return F.lit(False) if x is None else self.is_num() & (self.as_("double") == F.lit(x))
+            return F.lit(False) if x is None else self.is_num() & (self.number() == F.lit(x))
         return self.is_deep() & (F.to_json(self.v) == canonical(c))
 
     def eq(self, c: object) -> Pair:
@@ -90,7 +99,7 @@ class VariantValue:
             return _null_safe(self.is_deep())
         if kind == "deep":
             return _null_safe(nil | (self.is_deep() & (F.to_json(self.v) != canonical(c))))
-        own = {"str": self.tag == "STRING", "bool": self.tag == "BOOLEAN", "num": self.is_num()}[kind]
+        own = {"str": self.is_str(), "bool": self.is_bool(), "num": self.is_num()}[kind]
         return _null_safe(nil | (own & ~F.coalesce(self.same(c), F.lit(False))) | self.is_deep())
 
     def within(self, values: list) -> Pair:
@@ -108,6 +117,45 @@ class VariantValue:
         return compare(self.number(), op, c)
 
 
+class IndexedValue(VariantValue):
+    """The same conditions on an index row, whose columns kind, number and text hold what most of them need.
+
+    These reach the scan as pushed filters, so a lookup in a stored index decodes no value that it doesn't return.
+    """
+
+    COLUMNS = "kind string, number double, text string, value variant"
+
+    def __init__(self):
+        super().__init__(F.col("value"))
+
+    @staticmethod
+    def columns(v: Column) -> list[Column]:
+        own = VariantValue(v)
+        kind = F.when(own.nil()[0], "nil").when(own.is_num(), "num").when(own.is_str(), "str").when(own.is_bool(), "bool").when(own.is_deep(), "deep").otherwise("other")
+        return [kind.alias("kind"), own.number().alias("number"), F.when(own.is_str(), own.text()).alias("text"), v.alias("value")]
+
+    def nil(self) -> Pair:
+        return F.col("kind") == "nil", F.col("kind") != "nil"
+
+    def is_deep(self) -> Column:
+        return F.col("kind") == "deep"
+
+    def is_num(self) -> Column:
+        return F.col("kind") == "num"
+
+    def is_str(self) -> Column:
+        return F.col("kind") == "str"
+
+    def is_bool(self) -> Column:
+        return F.col("kind") == "bool"
+
+    def text(self) -> Column:
+        return F.col("text")
+
+    def number(self) -> Column:
+        return F.col("number")
+
+
 def compare(n: Column, op: str, c: float) -> Pair:
     """A comparison of a double that is null where there is no number, and its complement."""
     x = F.lit(float(c))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import scalar as S
 from docloom.functions.numbers import number_of, text_number
+from docloom.operators.files import Files
 
 
 def test_numbers(spark):
@@ -37,6 +38,15 @@ def test_pad_six(spark, n, want):
     assert spark.range(1).select(S.pad_six(F.lit(n))).first()[0] == want
 
 
-def test_labels_and_names(tmp_path):
+def test_labels_names_and_files(spark, tmp_path):
     assert (S.kind_of_table("v_Person"), S.label_of_table("v_Person"), S.label_of_table("x")) == ("v_", "Person", "")
-    assert len(S.random_name(8)) == 8 and S.file_exists(str(tmp_path)) and S.dir_exists(str(tmp_path)) and not S.file_exists(str(tmp_path / "no"))
+    assert len(S.random_name(8)) == 8 and S.random_name(8) != S.random_name(8)
+    files = Files(spark, str(tmp_path))
+    assert files.write_new(files.at("a"), "some text") and not files.write_new(files.at("a"), "other")
+    assert files.exists(files.at("a")) and not files.is_dir(files.at("a")) and files.is_dir(files.at()) and not files.exists(files.at("no"))
+    assert files.copy(files.at("a"), files.at("b")) == 9 and files.read(files.at("b")) == "some text"
+
+
+def test_codec_columns(spark):
+    row = spark.range(1).select(S.table_key(F.lit("v_A")), S.position_key(F.lit(517), F.lit("Mé")), S.location(F.lit(1), F.lit(65535), F.lit(12345), F.lit(2028))).first()
+    assert [bytes(x) for x in row] == [S.encode_table_key(b"v_A"), S.encode_position_key(517, "Mé".encode()), S.encode_location(1, 65535, 12345, 2028)]

@@ -192,3 +192,119 @@ def test_streamed_lines(spark, store, tmp_path):
     (folder / "2.json").write_text('{"_id":"2","late":true}\n{"_id":"3"}\n')
     stream_lines_into(store, str(folder), "v_S", str(tmp_path / "progress")).awaitTermination()
     assert ids(store.table("v_S").scan_ids()) == ["1", "2", "3"]
+
+
+def test_two_loads_at_once_store_an_id_once(store, spark, monkeypatch):
+    """Another writer commits the same id between the anti join and the commit: the load is made again and leaves it out."""
+    other = DocStore(spark, store.files.root)
+    counts, turns = DocStore._partition_counts, []
+
+    def between(self, path):
+        if self is store and not turns:
+            turns.append(other.bulk_load(rows(spark, [("99", {"by": "other"})])).inserted)
+        return counts(self, path)
+
+    monkeypatch.setattr(DocStore, "_partition_counts", between)
+    done = store.bulk_load(rows(spark, [("99", {"by": "me"}), ("100", {"by": "me"})]))
+    assert turns == [1] and done.inserted == 1
+    assert ids(store.table("v_P").scan_ids()) == ["100", "99"]
+    assert store.table("v_P").get("99").select(F.variant_get("doc", "$.by", "string")).first()[0] == "other"
+    assert len(store.files.names(store.files.at("loads"))) == 2  # the first try's files are gone
+
+    def always(self, path):
+        if self is store:
+            other.bulk_load(rows(spark, [(f"x{len(turns)}", {})]))
+            turns.append(1)
+        return counts(self, path)
+
+    monkeypatch.setattr(DocStore, "_partition_counts", always)
+    with pytest.raises(Conflict):
+        store.bulk_load(rows(spark, [("101", {})]), tries=2)
+    assert store.table("v_P").scan_ids().filter("_id = '101'").count() == 0
+
+
+def test_a_load_reads_its_own_tables_only(people, spark):
+    people.bulk_load(rows(spark, [("1", {"a": 1})], "v_Q"))
+    for p in people.state()["tables"]["v_P"]["loads"]:
+        people.files.delete(people.files.at(p))  # reading it would fail
+    assert people.bulk_load(rows(spark, [("1", {"a": 2}), ("2", {"a": 2})], "v_Q")).inserted == 1
+    assert people.bulk_load(rows(spark, [("1", {"a": 2})], "v_New")).inserted == 1
+
+
+def test_deleted_index_rows_stay_deleted(people, spark):
+    people.add_index("v_P", "name")
+    people.delete_row_field("v_P", "name", "key1")
+    for step in (lambda: people.store_index("v_P", "name"), lambda: people.bulk_load(rows(spark, [("new", {"name": "zed"})])), lambda: people.compact("v_P", force=True), lambda: people.store_index("v_P", "name")):
+        step()
+        assert "key1" not in ids(people.index_rows("v_P", "name"), "row_id")
+    people.delete("v_P", ["key1", "key2"])
+    people.bulk_load(rows(spark, [("key1", {"name": "again"})]))  # a row that is loaded anew is indexed anew
+    assert ids(people.ids_by_label_field("v_P", "name", "again"), "row_id") == ["key1"]
+    assert ids(people.index_rows("v_P", "name"), "row_id") == sorted(["key1", *[f"key{i}" for i in range(3, 9)], "new"])
+
+
+def test_stored_indexes_are_kept_up_and_pushed(people, spark):
+    people.add_index("v_P", "field1")
+    people.store_index("v_P", "field1")
+    people.store_index("v_P", "field1")  # nothing is left to cover
+    people.bulk_load(rows(spark, [("t", {"field1": "7"}), ("b", {"field1": True}), ("n", {"field1": None}), ("d", {"field1": [1]}), ("x", {})]))
+    people.insert("v_P", spark.createDataFrame([("key2", '{"field1":0.25}')], "_id string, doc string"))
+    entry = people._index("v_P", "field1")
+    assert sorted(x for p in entry["parts"] for x in p["of"]) == sorted(people.state()["tables"]["v_P"]["loads"]) and len(entry["parts"]) == 3
+    asked = [("EQ", 0.2), ("EQ", "7"), ("EQ", True), ("EQ", None), ("EQ", [1]), ("NEQ", 0.2), ("NEQ", None), ("GT", 0.5), ("LTE", 0.25), ("GTE", "0.7"), ("INSIDE", [0.1, 2]), ("OUTSIDE", [0.2, 0.7]), ("BETWEEN", [0.2, 0.4]), ("WITHIN", [0.1, "7", None]), ("WITHOUT", [0.1, None]), ("CONTAINS", 1)]
+    stored = [sorted(r[0] for r in people.ids_by_label_field("v_P", "field1", v, op).collect()) for op, v in asked]
+    assert stored == [ids(people.table("v_P").scan_ids(Cond("field1", op, v))) for op, v in asked] and all(stored)
+    plan = people.ids_by_label_field("v_P", "field1", 5, "GT")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(number,5.0)" in plan and "loads/" not in plan.replace("/downloads/", "")
+    assert "indexes/table=v_P/field=field1" in people._index("v_P", "field1")["parts"][0]["path"]
+
+
+def test_compaction_by_loads(store, spark):
+    store.add_index("v_P", "v")
+    store.store_index("v_P", "v")
+    for i in range(4):
+        store.bulk_load(rows(spark, [(f"k{i}", {"v": i})]))
+    assert not store.compact("v_P", most_loads=4) and store.load_count("v_P") == 4
+    assert store.compact("v_P", most_loads=3) and store.load_count("v_P") == 1 and store.load_count("v_None") == 0
+    assert ids(store.table("v_P").scan_ids()) == ["k0", "k1", "k2", "k3"] and len(store._index("v_P", "v")["parts"]) == 1
+    assert ids(store.ids_by_label_field("v_P", "v", 2), "row_id") == ["k2"]
+
+
+def test_files_hold_so_many_rows_at_most(store, spark):
+    store.bulk_load(rows(spark, [(str(i), {"i": i}) for i in range(95)]).coalesce(1), file_rows=20)
+    per_file = store.table("v_P").rows.groupBy(F.input_file_name()).count().select("count").collect()
+    assert sum(r[0] for r in per_file) == 95 and max(r[0] for r in per_file) == 20
+    many = spark.range(400).select(F.concat(F.lit("e_"), F.col("id") % 4).alias("table_name"), F.col("id").cast("string").alias("id"), F.lit("{}").alias("data")).repartition(8)
+    store.bulk_load(many)
+    assert all(store.table(f"e_{k}").rows.select(F.input_file_name()).distinct().count() == 1 for k in range(4))  # not one a task
+
+
+def test_streams_compact(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"{i}.json").write_text(f'{{"_id":"{i}"}}\n')
+    stream_lines_into(store, str(folder), "v_S", str(tmp_path / "progress"), files_a_batch=1, most_loads=2).awaitTermination()
+    assert store.table("v_S").scan_ids().count() == 5 and store.load_count("v_S") <= 2
+
+
+def test_ranges_and_ordered_gets(people, spark, sf):
+    t = people.table("v_P")
+    key = lambda df: [r["_id"] for r in df.collect()]
+    assert key(t.key_range("key3", "key6")) == ["key3", "key4", "key5"] and key(t.key_range(prefix="key")) == [f"key{i}" for i in range(1, 9)]
+    assert key(t.key_range(start="key7")) == ["key7", "key8"] and key(t.key_range(end="key2")) == ["key1"] and key(t.key_range(prefix="no")) == []
+    people.delete_range("v_P", "key3", "key6")
+    people.delete_range("v_P", prefix="key8")
+    assert key(people.table("v_P").keys()) == ["key1", "key2", "key6", "key7"]
+    typed = TypedTable(spark.read.parquet(f"{sf}/customer.parquet"), "c_custkey", "v_customer")
+    got = typed.get_many([7, -1, 3, 7]).collect()
+    assert [(r["_pos"], r["_wanted"], r["c_custkey"], r["error"]) for r in got] == [(0, 7, 7, None), (1, -1, None, "no row -1"), (2, 3, 3, None), (3, 7, 7, None)]
+    assert [r["c_custkey"] for r in typed.key_range("10", "12").collect()][:2] == [10, 100]
+
+
+def test_closing_leaves_the_session_alone(people, spark):
+    kept = spark.range(3).cache()
+    kept.count()
+    people.close()
+    assert kept.storageLevel.useMemory and people.tables() == ["v_P"]
+    kept.unpersist()
