@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalar import field_key, field_key_parts, fnv1a, kind_of_table, label_of_table, pad_six, partition_of, reverse_key
+from . import cli
+from .functions.scalar import field_key, field_key_parts, fnv1a, kind_of_table, label_of_table, location, pad_six, partition_of, position_key, reverse_key, table_key
 from .functions.scratch import scratch_dir
-from .operators import DocStore, DocTable, TypedTable
+from .operators import DocStore, DocTable, IndexExists, TypedTable
+from .operators.files import Files
 from .plans import And, Cond, Not, Or
-from .sources import read_documents, read_lines
+from .plans.paths import local_path, namespace_of, normalize_path
+from .plans.predicates import required_fields
+from .sources import distinct_integers, random_documents, read_documents, read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,8 +205,19 @@ def list_keys(spark, sf):
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE CAST(n_nationkey AS VARCHAR) >= '1' AND CAST(n_nationkey AS VARCHAR) < '2'")
 def key_range(spark, sf):
-    keys = typed(spark, sf, "nation", "n_nationkey").keys()
-    return keys.filter((F.col("_id") >= "1") & (F.col("_id") < "2")).select(F.col("_id").alias("id"))
+    return typed(spark, sf, "nation", "n_nationkey").documents().key_range("1", "2").select(F.col("_id").alias("id"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE starts_with(CAST(c_custkey AS VARCHAR), '12')")
+def key_prefix(spark, sf):
+    return typed(spark, sf, "customer", "c_custkey").key_range(prefix="12").select("c_custkey", "c_name")
+
+
+@query("SELECT * FROM (VALUES (0, 3, 'found'), (1, -1, 'missing'), (2, 1, 'found'), (3, 3, 'found')) AS t(pos, wanted, outcome)")
+def get_many_ordered(spark, sf):
+    got = typed(spark, sf, "customer", "c_custkey").get_many([3, -1, 1, 3])
+    outcome = F.when(F.col("error").isNull() & (F.col("c_custkey") == F.col("_wanted")), "found").otherwise("missing")
+    return got.select(F.col("_pos").cast("int").alias("pos"), F.col("_wanted").cast("int").alias("wanted"), outcome.alias("outcome"))
 
 
 # ---- writes
@@ -270,6 +287,33 @@ def compact_table(spark, sf):
     return s.stats("v_orders").select("total", "deleted")
 
 
+@query("SELECT o_orderkey FROM orders WHERE NOT starts_with(CAST(o_orderkey AS VARCHAR), '1') AND CAST(o_orderkey AS VARCHAR) < '8'")
+def delete_key_range(spark, sf):
+    s = store(spark)
+    s.bulk_load(_orders(read(spark, sf, "orders"), "x"))
+    s.delete_range("v_orders", prefix="1")
+    s.delete_range("v_orders", start="8")
+    return s.table("v_orders").scan_ids().select(F.col("_id").cast("long").alias("o_orderkey"))
+
+
+@query("SELECT count(*) AS total, true AS fits FROM orders")
+def file_rotation(spark, sf):
+    s = store(spark)
+    s.bulk_load(_orders(read(spark, sf, "orders"), "x"), file_rows=500)
+    files = s.table("v_orders").rows.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"))
+    return files.agg(F.sum("n").alias("total"), (F.max("n") <= 500).alias("fits"))
+
+
+@query("SELECT 1 AS loads, count(*) AS n FROM orders")
+def compact_by_loads(spark, sf):
+    s, orders = store(spark), read(spark, sf, "orders")
+    for k in range(3):
+        s.insert("v_orders", orders.filter(F.col("o_orderkey") % 3 == k).select(F.col("o_orderkey").alias("_id"), F.lit("{}").alias("doc")))
+    if not s.compact("v_orders", most_loads=2):
+        raise AssertionError("there are three loads")
+    return s.table("v_orders").scan_ids().agg(F.lit(s.load_count("v_orders")).alias("loads"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT 'e_' || event_type AS table_name, COUNT(*) AS n FROM events GROUP BY event_type")
 def route_by_table(spark, sf):
     s, e = store(spark), read(spark, sf, "events")
@@ -338,6 +382,38 @@ def index_delete_row_field(spark, sf):
     return _row_id(s.index_rows("e_Event", "event_type"))
 
 
+@query("SELECT event_id AS row_id FROM events WHERE event_id <> 17 AND value > 100")
+def index_stored_kept_up(spark, sf):
+    """An index stored before most rows are loaded, with a row taken out before it is stored."""
+    s, t = store(spark), docs_e(spark, sf)
+    s.insert("e_Event", t.scan(Cond("user_id", "LT", 50)))
+    s.insert("e_Event", t.scan(Cond("_id", "EQ", "17")).join(s.table("e_Event").scan_ids(), "_id", "left_anti"))
+    s.add_index("e_Event", "value")
+    s.delete_row_field("e_Event", "value", "17")
+    s.store_index("e_Event", "value")
+    s.bulk_load(t.scan().select(F.lit("e_Event").alias("table_name"), F.col("_id").alias("id"), F.col("doc").alias("data")))
+    return _row_id(s.ids_by_label_field("e_Event", "value", 100, "GT"))
+
+
+@query("SELECT 'customer' AS label, 'c_name' AS field, true AS refused")
+def index_duplicate(spark, sf):
+    s, refused = _catalogued(spark, sf), False
+    s.add_index("v_customer", "c_name")
+    try:
+        s.add_index("v_customer", "c_name")
+    except IndexExists:
+        refused = True
+    return s.indexes().withColumn("refused", F.lit(refused))
+
+
+@query("SELECT * FROM (VALUES ('customer','c_name'),('e_region','r_name')) AS t(label, field)")
+def index_reload(spark, sf):
+    s = _catalogued(spark, sf)
+    s.add_index("v_customer", "c_name")
+    s.add_index("e_region", "r_name")
+    return DocStore.open(spark, s.files.root).indexes()
+
+
 @query("SELECT * FROM (VALUES ('Customer','c_nationkey'),('e_Order','o_orderstatus')) AS t(label, field)")
 def list_fields(spark, sf):
     s = store(spark)
@@ -388,6 +464,71 @@ def all_col_names(spark, sf):
     return s.column_names()
 
 
+@query("SELECT 'v_customer' AS name, column_name FROM (DESCRIBE customer) UNION ALL SELECT 'v_supplier', column_name FROM (DESCRIBE supplier) UNION ALL SELECT 'e_region', column_name FROM (DESCRIBE region)")
+def reopened_tables(spark, sf):
+    s = DocStore.open(spark, _catalogued(spark, sf).files.root)
+    return s.tables_df().select("name", F.explode("columns").alias("column_name"))
+
+
+@query("SELECT column_name FROM (DESCRIBE supplier)")
+def column_defs(spark, sf):
+    s = _catalogued(spark, sf)
+    return spark.createDataFrame([(c,) for c in s.table("v_supplier").column_defs()], "column_name string")
+
+
+@query("SELECT CAST(3 AS BIGINT) AS tables, CAST(3 AS BIGINT) AS ids, true AS kept")
+def table_ids(spark, sf):
+    s = _catalogued(spark, sf)
+    before = s.tables_df().select("name", F.col("uuid").alias("before")).collect()
+    s.create_table("v_customer")
+    both = s.tables_df().join(spark.createDataFrame(before, "name string, before string"), "name")
+    return both.agg(F.count("name").alias("tables"), F.count_distinct("uuid").alias("ids"), F.bool_and(F.col("uuid") == F.col("before")).alias("kept"))
+
+
+@query("SELECT count(*) AS n FROM region")
+def used_after_close(spark, sf):
+    s = store(spark)
+    s.insert("v_region", typed(spark, sf, "region", "r_regionkey").documents().scan())
+    s.close()
+    return DocStore.open(spark, s.files.root).table("v_region").scan().agg(F.count(F.lit(1)).alias("n"))
+
+
+def _printed(spark, args) -> list[str]:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        if cli.main(args, spark):
+            raise AssertionError(args)
+    return out.getvalue().splitlines()
+
+
+def _nations(spark, sf) -> DocStore:
+    s = _catalogued(spark, sf)
+    s.insert("v_nation", typed(spark, sf, "nation", "n_nationkey").documents().scan())
+    return s
+
+
+@query("SELECT * FROM (VALUES ('e_region'),('v_customer'),('v_supplier')) AS t(line)")
+def cli_tables(spark, sf):
+    return spark.createDataFrame([(x,) for x in _printed(spark, ["tables", _catalogued(spark, sf).files.root])], "line string")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS line FROM nation")
+def cli_keys(spark, sf):
+    return spark.createDataFrame([(x,) for x in _printed(spark, ["keys", _nations(spark, sf).files.root, "v_nation"])], "line string")
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_nationkey IN (3, 7)")
+def cli_get(spark, sf):
+    lines = _printed(spark, ["get", _nations(spark, sf).files.root, "v_nation", "7", "x", "3"])
+    return spark.createDataFrame([(x,) for x in lines], "line string").select(F.get_json_object("line", "$.n_nationkey").cast("int").alias("key"), F.get_json_object("line", "$.n_name").alias("name"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_nationkey AS inner_id, n_name AS name FROM nation")
+def print_json_lines(spark, sf):
+    lines = _nations(spark, sf).table("v_nation").scan_json().select("_id", "json")
+    return lines.select(F.get_json_object("json", "$._id").alias("id"), F.get_json_object("json", "$.n_nationkey").cast("int").alias("inner_id"), F.get_json_object("json", "$.n_name").alias("name"))
+
+
 @query("SELECT c_custkey AS id FROM customer")
 def ids_for_label(spark, sf):
     s = store(spark)
@@ -437,6 +578,66 @@ def hash_fnv1a(spark, sf):
     return read(spark, sf, "nation").select("n_name", fnv1a(F.col("n_name")).alias("h"))
 
 
+@query("SELECT * FROM (VALUES ('a.b','$_current.a.b','$.a.b','_current'),('$g.a','$g.a','$.a','g'),('$.a','$_current.a','$.a','_current'),('a','$_current.a','$.a','_current')) AS t(path, normal, local, namespace)")
+def path_forms(spark, sf):
+    paths = ["a.b", "$g.a", "$.a", "a"]
+    return spark.createDataFrame([(p, normalize_path(p), local_path(p), namespace_of(p)) for p in paths], "path string, normal string, local string, namespace string")
+
+
+@query("SELECT * FROM (VALUES ('event_type'),('value'),('user_id')) AS t(field)")
+def required_fields_query(spark, sf):
+    pred = And(Or(Cond("event_type", "EQ", "click"), Cond("value", "GT", 200)), Not(Cond("user_id", "GT", 75)), Cond("value", "LT", 1000))
+    return spark.createDataFrame([(f,) for f in required_fields(pred)], "field string")
+
+
+QUERIES["required_fields"], ORACLE_SQL["required_fields"] = QUERIES.pop("required_fields_query"), ORACLE_SQL.pop("required_fields_query")
+
+
+@query("SELECT event_id AS id FROM events WHERE value > 100 AND user_id % 2 = 1")
+def row_filter(spark, sf):
+    """A filter of the user's own among the conditions: a column over the table's columns."""
+    return ids(typed(spark, sf, "events", "event_id").scan_ids(And(Cond("value", "GT", 100), F.col("user_id") % 2 == 1)))
+
+
+@query(
+    """SELECT n_nationkey, hex(encode('Tv_' || n_name)) AS table_key,
+       '50' || printf('%02X%02X', n_nationkey % 256, n_nationkey // 256) || hex(encode(n_name)) AS position_key,
+       printf('%02X%02X%02X%02X', n_nationkey % 256, n_nationkey // 256, 1, 0) || printf('%02X%02X0000', n_nationkey * 100 % 256, n_nationkey * 100 // 256) || 'EC070000' AS location FROM nation"""
+)
+def key_codecs(spark, sf):
+    n = F.col("n_nationkey")
+    row = (n, F.hex(table_key(F.concat(F.lit("v_"), "n_name"))).alias("table_key"), F.hex(position_key(n, F.col("n_name"))).alias("position_key"))
+    return read(spark, sf, "nation").select(*row, F.hex(location(n, F.lit(1), n * 100, F.lit(2028))).alias("location"))
+
+
+@query("SELECT n_nationkey, CAST(8 AS INTEGER) AS n, true AS alphanumeric FROM nation")
+def random_names(spark, sf):
+    names = read(spark, sf, "nation").select("n_nationkey", F.randstr(F.lit(8)).alias("name"))
+    return names.select("n_nationkey", F.char_length("name").alias("n"), F.col("name").rlike("^[A-Za-z0-9]+$").alias("alphanumeric"))
+
+
+@query("SELECT 'key_' || i AS id, substr(sha256('7-' || i || '-0') || sha256('7-' || i || '-1'), 1, 100) AS data FROM range(50) AS t(i)")
+def generated_documents(spark, sf):
+    s = store(spark)
+    s.bulk_load(random_documents(spark, "v_scale", 50, 100, seed=7))
+    return s.table("v_scale").scan().select(F.col("_id").alias("id"), F.variant_get("doc", "$.data", "string").alias("data"))
+
+
+@query("SELECT CAST(40 AS BIGINT) AS n, CAST(40 AS BIGINT) AS different, true AS inside")
+def generated_integers(spark, sf):
+    got = distinct_integers(spark, 40, 1000, seed=3)
+    return got.agg(F.count("value").alias("n"), F.count_distinct("value").alias("different"), F.bool_and(F.col("value").between(0, 999)).alias("inside"))
+
+
+@query("SELECT true AS there, false AS folder, true AS copied, CAST(9 AS BIGINT) AS bytes")
+def file_helpers(spark, sf):
+    files = Files(spark, scratch_dir(spark, "files"))
+    files.make(files.at())
+    files.write_new(files.at("a"), "some text")
+    n = files.copy(files.at("a"), files.at("b"))
+    return spark.createDataFrame([(files.exists(files.at("a")), files.is_dir(files.at("a")), files.read(files.at("b")) == "some text", n)], "there boolean, folder boolean, copied boolean, bytes long")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer")
 def json_lines_source(spark, sf):
     path = scratch_dir(spark, "lines")
