@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from a model file: a fixed normaliser (dummy prefix, white space to U+2581), a trie of the
-pieces, and byte fallback arcs for characters that no piece holds.  For a BPE model the weights of the tropical semiring are on
-pairs of adjacent pieces: 0 if merging the two pieces' characters gives just these two, infinite otherwise.  A sequence of
-pieces is what the merges give exactly if each adjacent pair is such a pair, so of all paths of the composition with a
-text the shortest is the only finite one, and it is the encoding.  Merges never join a piece to a following U+2581, so a
-text falls into units (white space and the word behind it) that are composed one by one and remembered.
+The transducer is compiled from a model file: its normaliser (character map, dummy prefix, extra white space), a trie of the
+pieces, and byte fallback arcs for characters that no piece holds.  A text's encoding is the shortest path through the
+composition, in the tropical semiring: weights along a path add up, the least sum wins.  For a unigram model a piece weighs
+the negative of its score.  For a BPE model the weights are on pairs of adjacent pieces: 0 if merging the two pieces' characters
+gives just these two, infinite otherwise; a sequence of pieces is what the merges give exactly if each adjacent pair is such
+a pair, so the shortest path is the only finite one.  No piece joins a letter to a following U+2581, so a text falls into
+units (white space and the word behind it) that are composed one by one and remembered.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -49,24 +51,99 @@ def fields(message: bytes) -> dict[int, list]:
     return out
 
 
-def unsupported(model: bytes) -> list[str]:
-    """What a serialised model asks for that the transducer doesn't do: it has BPE, byte fallback and one normaliser."""
-    spec = fields(model)
-    trainer, normaliser = (fields(b"".join(spec.get(k, []))) for k in (2, 3))
-    last = lambda m, k, default: m.get(k, [default])[-1]
+UNIGRAM, BPE = 1, 2
+#: What an unknown character costs beyond the dearest piece in a unigram model.
+UNKNOWN = 10.0
+
+
+def unsupported(spec: dict[int, list]) -> list[str]:
+    """What a model (by field number) asks for that the transducer doesn't do."""
+    trainer, normaliser = (_merged(spec, k) for k in (2, 3))
     wrong = {
-        "a model type other than BPE": last(trainer, 3, 1) != 2,
-        "no byte fallback": not last(trainer, 35, 0),
-        "white space as a suffix": bool(last(trainer, 24, 0)),
-        "a character map": bool(last(normaliser, 2, b"")),
-        "no dummy prefix": not last(normaliser, 3, 1),
-        "removal of extra white space": bool(last(normaliser, 4, 1)),
-        "white space that isn't escaped": not last(normaliser, 5, 1),
-        "user-defined pieces": any(last(fields(p), 3, 1) == 4 for p in spec.get(1, [])),
+        "a model type other than unigram and BPE": _last(trainer, 3, UNIGRAM) not in (UNIGRAM, BPE),
+        "no byte fallback": not _last(trainer, 35, 0),
+        "white space as a suffix": bool(_last(trainer, 24, 0)),
+        "white space that isn't escaped": not _last(normaliser, 5, 1),
+        "user-defined pieces": any(_last(fields(p), 3, 1) == 4 for p in spec.get(1, [])),
     }
     return [k for k, v in wrong.items() if v]
 
 
+def _merged(spec: dict[int, list], k: int) -> dict[int, list]:
+    return fields(b"".join(spec.get(k, [])))
+
+
+def _last(message: dict[int, list], k: int, default):
+    return message.get(k, [default])[-1]
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a precompiled character map: a double array over bytes whose values are places in a block of texts."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    out: dict[str, str] = {}
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    letters = np.arange(1, 256)
+    stack = [(offset(int(units[0])), b"")]
+    while stack:
+        node, prefix = stack.pop()
+        at = node ^ letters
+        inside = at < len(units)
+        for c in letters[inside][(units[at[inside]] & 0x800000FF) == letters[inside]].tolist():
+            unit = int(units[node ^ c])
+            after, own = (node ^ c) ^ offset(unit), prefix + bytes([c])
+            if unit >> 8 & 1:
+                place = int(units[after]) & 0x7FFFFFFF
+                out[own.decode("utf-8", "surrogatepass")] = texts[place : texts.index(0, place)].decode("utf-8")
+            stack.append((after, own))
+    return out
+
+
+class Normaliser:
+    """A model's normaliser, compiled: the longest rule at each place is applied, then white space is treated."""
+
+    def __init__(self, spec: dict[int, list]):
+        self.rules = character_map(_last(spec, 2, b""))
+        self.prefix, self.tidy = bool(_last(spec, 3, 1)), bool(_last(spec, 4, 1))
+        self.trie: dict = {}
+        for source, target in self.rules.items():
+            at = self.trie
+            for c in source:
+                at = at.setdefault(c, {})
+            at[None] = target
+        self.starts = re.compile("[" + "".join(map(re.escape, self.trie)) + "]") if self.trie else None
+
+    def mapped(self, text: str) -> str:
+        m = self.starts.search(text) if self.starts else None
+        if not m:
+            return text
+        out, at = [], 0
+        while m:
+            start = m.start()
+            node, k, found, end = self.trie, start, None, start
+            while k < len(text) and (node := node.get(text[k])) is not None:
+                k += 1
+                if None in node:
+                    found, end = node[None], k
+            out.append(text[at:start])
+            out.append(text[start] if found is None else found)
+            at = start + 1 if found is None else end
+            m = self.starts.search(text, at)
+        return "".join([*out, text[at:]])
+
+    def apply(self, text: str) -> str:
+        """White space becomes U+2581; tidied, runs of it count once and those at the ends not at all."""
+        if not text:
+            return ""
+        text = self.mapped(text)
+        if self.tidy:
+            text = re.sub(" +", " ", text).strip(" ")
+        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        return text.rstrip(SPACE) if self.tidy else text
+
+
 class Transducer:
     """Composes texts with the pieces of one model; `encode` and `decode` are inverse up to the normaliser."""
 
@@ -74,13 +151,17 @@ class Transducer:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        if wrong := unsupported(model.serialized_model_proto()):
+        spec = fields(model.serialized_model_proto())
+        if wrong := unsupported(spec):
             raise ValueError(f"{path}: the transducer doesn't support {', '.join(wrong)}")
+        self.by_merges = _last(_merged(spec, 2), 3, UNIGRAM) == BPE
+        self.normaliser = Normaliser(_merged(spec, 3))
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.id_of = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: model.get_score(i) for i in plain}
+        self.unknown = UNKNOWN - min(self.score.values(), default=0.0)
         self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(SPACE in p.strip(SPACE) or (p.endswith(SPACE) and p.strip(SPACE)) for p in self.id_of):
             raise ValueError("a piece holds white space behind a letter; units aren't independent")
@@ -178,46 +259,52 @@ class Transducer:
     def shortest(self, text: str) -> list[str]:
         """The pieces on the shortest path through the composition of text with the transducer.
 
-        All finite weights are 0, so the first path that reaches the end is shortest; arcs are tried longest first.  A
-        prefix's own encoding is unique, so there is one finite state a position and a position is entered once.
+        Least sum first (Dijkstra).  Of equal sums a BPE model's path that is furthest on is followed first, and the weight of
+        its last pair is looked up only then; in a unigram model the one whose last piece is longer wins, as in the library
+        (which adds in single precision over the whole text, so there rounding can decide between equal sums).
+        A position is settled once: what a unigram path costs behind it doesn't depend on its pieces, and a BPE prefix has
+        one finite path.
         """
-        n, longest, trie, pairs = len(text), self.longest, self.trie, self.pairs
-        path: list[str] = []
-        stack: list[list[str]] = []
-        at, a, seen = 0, "", set()
-        while at < n:
-            node, arcs = trie, []
+        n, longest, trie, merges, score, pairs = len(text), self.longest, self.trie, self.by_merges, self.score, self.pairs
+        heap: list[tuple] = [(0.0, 0, 0, 0, "", "", None)]
+        settled, pushed = set(), 0
+        while heap:
+            cost, _, _, at, a, p, path = heappop(heap)
+            if at in settled:
+                continue
+            if merges and a:
+                fits = pairs.get((a, p))
+                if fits is None:
+                    fits = self.weight(a, p) < INF
+                if not fits:
+                    continue
+            settled.add(at)
+            if p:
+                path = (p, path)
+            if at == n:
+                break
+            node, end, alone = trie, at, False
             for c in text[at : at + longest]:
                 node = node.get(c)
                 if node is None:
                     break
-                p = node.get(None)
-                if p is not None:
-                    arcs.append(p)
-            if not arcs:
-                arcs.append(text[at])  # no piece holds the character: a byte fallback arc
-            stack.append(arcs)
-            while True:
-                arcs = stack[-1]
-                while arcs:
-                    p = arcs.pop()
-                    if at + len(p) not in seen:
-                        ok = not a or pairs.get((a, p))
-                        if ok or (ok is None and self.weight(a, p) == 0.0):
-                            break
-                else:
-                    stack.pop()
-                    if not path:
-                        raise AssertionError(f"no path through {text!r}")
-                    at -= len(path.pop())
-                    a = path[-1] if path else ""
-                    continue
-                break
-            path.append(p)
-            at += len(p)
-            seen.add(at)
-            a = p
-        return path
+                end += 1
+                q = node.get(None)
+                if q is not None:
+                    alone = alone or end == at + 1
+                    if end not in settled:
+                        pushed += 1
+                        heappush(heap, (cost, -end, pushed, end, p, q, path) if merges else (cost - score[q], at, pushed, end, p, q, path))
+            if not alone:  # no piece is the character alone: a byte fallback arc
+                pushed += 1
+                heappush(heap, (cost, -at - 1, pushed, at + 1, p, text[at], path) if merges else (cost + self.unknown, at, pushed, at + 1, p, text[at], path))
+        else:
+            raise AssertionError(f"no path through {text!r}")
+        out = []
+        while path:
+            out.append(path[0])
+            path = path[1]
+        return out[::-1]
 
     def ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -230,7 +317,7 @@ class Transducer:
         return out
 
     def blank(self, k: int) -> list[str]:
-        """k times U+2581.  All such pieces have one score, so the leftmost one grows first, by its neighbours.
+        """The pieces of k times U+2581 in a BPE model, which its merges decide by place: all such pieces have one score.
 
         The first piece depends on a few of the next ones at most, so a long run is taken from its front.
         """
@@ -250,7 +337,9 @@ class Transducer:
             return old
         word = unit.lstrip(SPACE)
         k = len(unit) - len(word)
-        if not word:
+        if not self.by_merges:
+            pieces = self.shortest(unit)
+        elif not word:
             pieces = self.blank(k)
         elif k < 2:
             pieces = self.shortest(unit)
@@ -267,20 +356,18 @@ class Transducer:
             self.older, self.memo = self.memo, {}
         self.memo[unit] = ids
 
-    def normalise(self, text: str) -> str:
-        return SPACE + text.replace(" ", SPACE) if text else ""
-
     def encode(self, text: str) -> np.ndarray:
         memo = self.memo
         out = []
-        for u in self.unit.findall(self.normalise(text)):
+        for u in self.unit.findall(self.normaliser.apply(text)):
             ids = memo.get(u)
             out.append(self.compose(u) if ids is None else ids)
         return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the inverse transducer, less the dummy prefix.  Bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return out[1:] if self.normaliser.prefix else out
 
 
 _kept: dict[str, Transducer] = {}
@@ -299,7 +386,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     Ids are those of the library, without begin and end tokens.  token_ids is decoded again; decoded_crc32 is the crc32 of
     that text in UTF-8, round_trip whether it is the input (a literal U+2581 comes back as a space, so it is false for
-    texts with one).  Null and empty texts have no tokens and come back empty.  Rows are independent; a worker holds one
+    texts with one, and for texts that the model's normaliser changes).  Null and empty texts have no tokens and come back empty.  Rows are independent; a worker holds one
     batch of texts and at most REMEMBERED units and PAIRS pairs.
     """
     from zlib import crc32

@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
-from llm_fixtures import SCHEMA, prose
-from test_operators import brute_components, brute_fingerprint, brute_leaks
+from llm_fixtures import CLASHING, SCHEMA, prose
+from pyspark.sql import functions as F
+from test_operators import brute_leaks
+from test_similar import brute_kept
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -44,8 +46,9 @@ def test_pipeline_by_hand(spark, tmp_path):
     for i, t in left:
         last[t or ""] = max(last.get(t or "", i), i)
     left = [(i, t) for i, t in left if last[t or ""] == i]
-    tops = brute_components([i for i, _ in left], [brute_fingerprint(t) for _, t in left])
-    left = [(i, t) for (i, t), c in zip(left, tops) if i == c]
+    one_each = brute_kept(left)
+    assert len(one_each) < len(left)
+    left = [(i, t) for i, t in left if i in one_each]
     leaking = {i for i, _ in brute_leaks(left, items)}
     assert len(leaking) >= 18
     left = [(i, t) for i, t in left if i not in leaking]
@@ -64,3 +67,27 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "simhash near dedup", "benchmark decontamination", "sentencepiece"]
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and entry.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_pipeline_over_hostile_rows(spark, hostile, labels, tmp_path):
+    """Nulls, repeats, empty and very long texts and clashing columns through all stages; and no rows at all."""
+    wide = hostile
+    for c in CLASHING:
+        wide = wide.withColumn(c, F.lit("clash"))
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "three word item"), (None, "another text for the same id")], "item_id bigint, text string")
+    for name, docs in (("wide", wide), ("nothing", wide.limit(0))):
+        at = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, at).collect()
+        if name == "nothing":
+            assert got == []
+            continue
+        toxic = {(r["doc_id"], r["text"]) for r in wide.select("doc_id", "text").collect()} - {(r["doc_id"], r["text"]) for r in toxicity.drop_toxic(wide, labels).select("doc_id", "text").collect()}
+        left = {}
+        for i, t in {(r["doc_id"], r["text"]) for r in wide.select("doc_id", "text").collect()} - toxic:
+            left[t or ""] = max((x for x in (left.get(t or ""), i) if x is not None), default=None)
+        rows = [(i, t) for t, i in left.items() if t != "another text for the same id"]
+        assert all(i is not None for i, _ in rows)
+        assert Counter(r["doc_id"] for r in got) == Counter(brute_kept(rows))
