@@ -28,6 +28,8 @@ RADIUS = 24
 SAMPLE, COMMON_FROM, MOST_COMMON = 20_000, 3, 200_000
 #: A bucket with more rows is compared in parts, each pair of parts in a task of its own.
 BUCKET_ROWS = 20_000
+#: Sets that are compared exactly in one place are some BLOCK on either side.
+BLOCK = 64
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -229,18 +231,40 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int = SHI
     return edges.unionByName(similar(docs, rows, left, shingle, similarity))
 
 
-def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sets of shingles have the similarity or more; rows say which text (t) has which set (fp)."""
+def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity or more; rows say which text (t) has which set (fp).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sets that pairs connect are cut into parts of about `block`, and the pairs between two parts are compared in one place,
+    so that a set travels once for each part that it meets and not once for each pair.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingles(t.as_py(), shingle).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            sets = pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["fp", "own"])
 
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = written(rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("t").alias("t")), "similar-texts")
+    def check(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        is_set = pdf["own"].notna().to_numpy()
+        own = {k: np.frombuffer(x, np.uint64) for k, x in zip(pdf["a"][is_set].tolist(), pdf["own"][is_set])}
+        found = []
+        for a, b in zip(pdf["a"][~is_set].tolist(), pdf["b"][~is_set].tolist()):
+            x, y = own[a], own[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= (similarity - 1e-12) * (len(x) + len(y) - both):
+                found.append((a, b))
+        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    family = written(components(pairs), "close-families")
+    parts = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    placed = family.join(parts, "root").select(F.col("node").alias("fp"), "root", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    placed = written(placed, "close-parts")
+    ends = [placed.select(F.col("fp").alias(x), F.col("root").alias(f"root_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab"]
+    at = F.xxhash64("root_a", F.least("part_a", "part_b"), F.greatest("part_a", "part_b"))
+    met = written(pairs.join(ends[0], "a").join(ends[1], "b").select(at.alias("bucket"), "a", "b"), "close-blocks")
+
+    wanted = written(rows.join(placed.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("t").alias("t")), "similar-texts")
     texts = docs.select(text_key().alias("t"), F.col("text").cast("string").alias("text")).join(small(wanted, wanted.count()), "t").select("fp", "text")
-    sets = written(texts.mapInArrow(run, "fp bigint, own array<bigint>").groupBy("fp").agg(F.first("own").alias("own")), "similar-sets")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return both.filter(F.col("shared") / (F.col("m") + F.col("n") - F.col("shared")) >= similarity - 1e-12).select("a", "b")
+    sets = written(texts.mapInArrow(cut, "fp bigint, own binary").groupBy("fp").agg(F.first("own").alias("own")), "similar-sets")
+    members = met.select("bucket", F.col("a").alias("fp")).union(met.select("bucket", F.col("b").alias("fp"))).distinct().join(sets, "fp")
+    every = met.select("bucket", "a", "b", F.lit(None).cast("binary").alias("own")).union(members.select("bucket", "fp", F.col("fp").alias("b"), "own"))
+    return every.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(by_bucket(check), "a bigint, b bigint")

@@ -70,7 +70,7 @@ def test_op3_keeps_its_own_rule(spark):
     assert all(int(got[i], 16) == simhash_dedup.fingerprint(t, 3) for i, t, *_ in rows)
 
 
-def test_crowded_buckets_and_a_large_group(spark):
+def test_crowded_buckets_and_a_large_group(spark, monkeypatch):
     """A bucket that is cut into parts loses no pair, and a group of near copies isn't compared pair by pair."""
     rnd = random.Random(8)
     base, star = prose(rnd, 300), prose(rnd, 90)
@@ -78,7 +78,9 @@ def test_crowded_buckets_and_a_large_group(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     own = similar.prefixes(docs).cache()
     nodes = own.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("sim", "size", "least", "prefix")]).cache()
+    whole = similar.similar
     for most in (20_000, 25):
+        monkeypatch.setattr(similar, "similar", lambda *args, block=64 if most > 100 else 7: whole(*args, block=block))  # one part, and several
         edges = similar.links(docs, own.select("doc_id", "t", "fp"), nodes, bucket_rows=most).collect()
         fp = {r["doc_id"]: r["fp"] for r in own.select("doc_id", "fp").collect()}
         at = {x: x for x in fp.values()}
