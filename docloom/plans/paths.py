@@ -39,21 +39,26 @@ class Path:
         """As `variant_get` takes it; None if the path names nothing there or can't be written."""
         if self.never_matches or self.is_wild:
             return None
-        out = "$"
+        steps = self.variant_steps()
+        return steps[0] if len(steps) == 1 and steps[0].startswith("$") else None
+
+    def variant_steps(self) -> list[str]:
+        """Paths as `variant_get` takes them, beginning with $, and bare keys that it can't name as they hold both quotes.
+
+        A bare key is marked by a leading =.
+        """
+        out = ["$"]
         for s in self.segments:
-            if isinstance(s, int):
-                out += f"[{s}]"
-            elif '"' not in s:
-                out += f'["{s}"]'
-            elif "'" not in s:
-                out += f"['{s}']"
+            text = f"[{s}]" if isinstance(s, int) else f'["{s}"]' if '"' not in s else f"['{s}']" if "'" not in s else None
+            if text is None:
+                out += ["=" + s, "$"]
             else:
-                return None
-        return out
+                out[-1] += text
+        return [x for x in out if x != "$"] or ["$"]
 
     def json_path(self) -> str:
-        """As `get_json_object` takes it, wildcards included."""
-        return "$" + "".join(f"[{s}]" if isinstance(s, int) else "[*]" if s is ANY else f"['{s}']" for s in self.segments)
+        """As `get_json_object` takes it, wildcards included; a key with a quote or question mark is written behind a dot."""
+        return "$" + "".join(f"[{s}]" if isinstance(s, int) else "[*]" if s is ANY else f".{s}" if "'" in s or "?" in s else f"['{s}']" for s in self.segments)
 
 
 def filter_path(text: str) -> Path:

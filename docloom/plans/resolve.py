@@ -281,8 +281,15 @@ class VariantResolver:
             return TypedValue(F.lit(self.label), T.StringType())
         if path.is_wild and not path.never_matches:  # all matches as one array; a lone match is itself
             return VariantValue(F.try_parse_json(F.get_json_object(F.to_json(F.col(self.doc)), path.json_path())))
-        at = path.variant_path()
-        return TypedValue(F.lit(None), T.NullType()) if at is None else VariantValue(F.variant_get(F.col(self.doc), at, "variant"))
+        if path.never_matches:
+            return TypedValue(F.lit(None), T.NullType())
+        v = F.col(self.doc)
+        for step in path.variant_steps():
+            if step.startswith("="):  # a key with both kinds of quotes
+                v = F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(step[1:]))
+            else:
+                v = F.variant_get(v, step, "variant")
+        return VariantValue(v)
 
 
 class TypedResolver:

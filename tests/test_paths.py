@@ -37,3 +37,14 @@ def test_wildcards_find_all(spark):
     df = spark.createDataFrame([('{"a":[{"b":1},{"b":2}]}',)], "j string").select(F.parse_json("j").alias("doc"))
     v = VariantResolver(parse=index_path).value("a[*].b")
     assert df.filter(v.contains(2)[0]).count() == 1
+
+
+def test_keys_with_quotes(spark):
+    """Keys with one kind of quote, with both, and behind a wildcard."""
+    text = r"""{"both'\"q":{"x":[5]},"it's":[{"o'k":1},{"o'k":2}],"w?":[{"n":3}]}"""
+    df = spark.createDataFrame([(text,), ('{"other":1}',), ("[1]",)], "j string").select(F.parse_json("j").alias("doc"))
+    seen = lambda r, path, v: df.filter(r.value(path).eq(v)[0]).count()
+    own, index = VariantResolver(), VariantResolver(parse=index_path)
+    assert seen(own, "both'\"q.x[0]", 5) == 1 and seen(own, "both'\"q.x[0]", 6) == 0 and seen(own, "both'\"q.x", None) == 2
+    assert seen(own, "it's[1].o'k", 2) == 1 and Path(("it's",)).variant_path() == '$["it\'s"]'
+    assert df.filter(index.value("it's[*].o'k").contains(2)[0]).count() == 1 and seen(index, "w?[*].n", 3) == 1
