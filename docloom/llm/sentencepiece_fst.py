@@ -12,6 +12,7 @@ units (white space and the word behind it) that are composed one by one and reme
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -180,13 +181,19 @@ class Transducer:
             self.bytes_of[i] = bytes([b])
 
     def _compiled(self) -> dict:
-        """The trie: character -> node, None -> piece; its arcs are the input side of the piece transducer."""
+        """The trie: character -> (node, piece or None); its arcs are the input side of the piece transducer."""
         root: dict = {}
         for p in self.id_of:
             at = root
-            for c in p:
-                at = at.setdefault(c, {})
-            at[None] = p
+            for c in p[:-1]:
+                at = at.setdefault(c, [{}, None])[0]
+            at.setdefault(p[-1], [{}, None])[1] = p
+        stack = [root]
+        while stack:  # tuples are unpacked faster
+            at = stack.pop()
+            for c, (node, piece) in at.items():
+                at[c] = (node, piece)
+                stack.append(node)
         return root
 
     def merged(self, text: str) -> list[str]:
@@ -256,55 +263,90 @@ class Transducer:
             self.pairs[a, b] = known
         return 0.0 if known else INF
 
+    def arcs(self, text: str, at: int) -> list[str]:
+        """The pieces that text has at a place, shortest first; where no piece is the character alone, the byte fallback for it."""
+        node, out = self.trie, []
+        for c in text[at : at + self.longest]:
+            found = node.get(c)
+            if found is None:
+                break
+            node, piece = found
+            if piece is not None:
+                out.append(piece)
+        if not out or len(out[0]) > 1:
+            out.insert(0, text[at])
+        return out
+
     def shortest(self, text: str) -> list[str]:
-        """The pieces on the shortest path through the composition of text with the transducer.
+        """The pieces on the shortest path through the composition of text with the transducer."""
+        return self._by_pairs(text) if self.by_merges else self._by_sums(text)
 
-        Least sum first (Dijkstra).  Of equal sums a BPE model's path that is furthest on is followed first, and the weight of
-        its last pair is looked up only then; in a unigram model the one whose last piece is longer wins, as in the library
-        (which adds in single precision over the whole text, so there rounding can decide between equal sums).
-        A position is settled once: what a unigram path costs behind it doesn't depend on its pieces, and a BPE prefix has
-        one finite path.
+    def _by_sums(self, text: str) -> list[str]:
+        """Least sum first (Dijkstra): what a path costs behind a place doesn't depend on its pieces, so a place is settled once.
+
+        Of equal sums the path whose last piece is longer wins, as in the library (which adds in single precision over the
+        whole text, so there rounding can decide between equal sums).
         """
-        n, longest, trie, merges, score, pairs = len(text), self.longest, self.trie, self.by_merges, self.score, self.pairs
-        heap: list[tuple] = [(0.0, 0, 0, 0, "", "", None)]
-        settled, pushed = set(), 0
+        heap: list[tuple] = [(0.0, 0, 0, "")]
+        came: dict[int, str] = {}
         while heap:
-            cost, _, _, at, a, p, path = heappop(heap)
-            if at in settled:
+            cost, start, at, p = heappop(heap)
+            if at in came:
                 continue
-            if merges and a:
-                fits = pairs.get((a, p))
-                if fits is None:
-                    fits = self.weight(a, p) < INF
-                if not fits:
-                    continue
-            settled.add(at)
-            if p:
-                path = (p, path)
-            if at == n:
+            came[at] = p
+            if at == len(text):
                 break
-            node, end, alone = trie, at, False
+            for q in self.arcs(text, at):
+                if at + len(q) not in came:
+                    heappush(heap, (cost - self.score[q] if q in self.score else cost + self.unknown, at, at + len(q), q))
+        out, at = [], len(text)
+        while at:
+            out.append(came[at])
+            at -= len(came[at])
+        return out[::-1]
+
+    def _by_pairs(self, text: str) -> list[str]:
+        """The least sum where all weights are 0 or infinite, so the first path to the end is shortest: arcs longest first.
+
+        A prefix's own encoding is unique, so there is one finite state a place and a place is entered once.
+        """
+        n, longest, trie, pairs = len(text), self.longest, self.trie, self.pairs
+        path: list[str] = []
+        stack: list[list[str]] = []
+        at, a, entered = 0, "", set()
+        while at < n:
+            node, arcs = trie, []
             for c in text[at : at + longest]:
-                node = node.get(c)
-                if node is None:
+                found = node.get(c)
+                if found is None:
                     break
-                end += 1
-                q = node.get(None)
-                if q is not None:
-                    alone = alone or end == at + 1
-                    if end not in settled:
-                        pushed += 1
-                        heappush(heap, (cost, -end, pushed, end, p, q, path) if merges else (cost - score[q], at, pushed, end, p, q, path))
-            if not alone:  # no piece is the character alone: a byte fallback arc
-                pushed += 1
-                heappush(heap, (cost, -at - 1, pushed, at + 1, p, text[at], path) if merges else (cost + self.unknown, at, pushed, at + 1, p, text[at], path))
-        else:
-            raise AssertionError(f"no path through {text!r}")
-        out = []
-        while path:
-            out.append(path[0])
-            path = path[1]
-        return out[::-1]
+                node, p = found
+                if p is not None:
+                    arcs.append(p)
+            if not arcs or len(arcs[0]) > 1:
+                arcs.insert(0, text[at])
+            stack.append(arcs)
+            while True:
+                arcs = stack[-1]
+                while arcs:
+                    p = arcs.pop()
+                    if at + len(p) not in entered:
+                        ok = not a or pairs.get((a, p))
+                        if ok or (ok is None and self.weight(a, p) == 0.0):
+                            break
+                else:
+                    stack.pop()
+                    if not path:
+                        raise AssertionError(f"no path through {text!r}")
+                    at -= len(path.pop())
+                    a = path[-1] if path else ""
+                    continue
+                break
+            path.append(p)
+            at += len(p)
+            entered.add(at)
+            a = p
+        return path
 
     def ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -330,7 +372,7 @@ class Transducer:
         return out + self.merged(SPACE * k)
 
     def compose(self, unit: str) -> bytes:
-        """The ids of one unit as 32-bit little-endian integers."""
+        """The ids of one unit as 32-bit integers."""
         old = self.older.get(unit)
         if old is not None:
             self._remember(unit, old)
@@ -346,7 +388,7 @@ class Transducer:
         else:
             pieces = self.shortest(SPACE + word)
             pieces = self.blank(k) + pieces[1:] if pieces[0] == SPACE else self.blank(k - 1) + pieces
-        out = np.array(self.ids(pieces), "<i4").tobytes()
+        out = array("i", self.ids(pieces)).tobytes()
         if len(unit) <= 64:
             self._remember(unit, out)
         return out
@@ -362,7 +404,7 @@ class Transducer:
         for u in self.unit.findall(self.normaliser.apply(text)):
             ids = memo.get(u)
             out.append(self.compose(u) if ids is None else ids)
-        return np.frombuffer(b"".join(out), "<i4")
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the inverse transducer, less the dummy prefix.  Bytes that aren't UTF-8 become U+FFFD."""

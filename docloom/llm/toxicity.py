@@ -57,14 +57,32 @@ class Model:
     v: np.ndarray
 
 
-def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, 0)])
-    return total[ends[1:]] - total[ends[:-1]]
-
-
-def _margin(w0, w, v, terms, ends):
-    s = _sums(v[terms], ends)
-    return w0 + _sums(w[terms], ends) + 0.5 * ((s**2).sum(1) - _sums((v[terms] ** 2).sum(1), ends)), s
+class Incidence:
+    """Which of k terms are in which of n texts (pairs of rows and terms): terms of many texts as a matrix, the others as a list."""
+
+    def __init__(self, terms: np.ndarray, rows: np.ndarray, n: int, k: int):
+        self.n, self.k = n, k
+        self.often = np.flatnonzero(np.bincount(terms, minlength=k) * 32 >= n)
+        at = np.full(k, -1, np.int32)
+        at[self.often] = np.arange(len(self.often))
+        dense = at[terms] >= 0
+        self.matrix = np.zeros((n, len(self.often)), np.float32)
+        self.matrix[rows[dense], at[terms[dense]]] = 1
+        self.terms, self.rows = terms[~dense], rows[~dense]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """By text, the values of its terms added up; values may have several columns."""
+        if values.ndim > 1:
+            return np.stack([self.sums(x) for x in values.T], 1)
+        return np.bincount(self.rows, values[self.terms], self.n) + self.matrix @ values[self.often].astype(np.float32)
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """By term, the values of its texts added up."""
+        if values.ndim > 1:
+            return np.stack([self.back(x) for x in values.T], 1)
+        out = np.bincount(self.terms, values[self.rows], self.k).astype(float)  # of no values at all it would be whole numbers
+        out[self.often] = values.astype(np.float32) @ self.matrix
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,25 +144,23 @@ def fit(term_lists: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, c
     toxic = int(y.sum())
     if not n or toxic in (0, n):
         return Model(-30.0 if not toxic else 30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    flat = np.concatenate(term_lists)
-    rows = np.repeat(np.arange(n), [len(t) for t in term_lists])
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    inside = place[flat] >= 0
-    terms, rows = place[flat[inside]], rows[inside]
-    ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=n))]
+    terms = place[np.concatenate(term_lists)]
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in term_lists])[terms >= 0]
+    terms = terms[terms >= 0]
+    x = Incidence(terms, rows, n, len(chosen))
     share = weights / weights.sum()
     base = float((share * y).sum())
     w0, w = np.log(base / (1 - base)), np.zeros(len(chosen))
     v = np.random.default_rng(0).normal(0, 0.01, (len(chosen), FACTORS))
     first, second = [np.zeros_like(w), np.zeros_like(v)], [np.zeros_like(w), np.zeros_like(v)]
     for t in range(1, STEPS + 1):
-        margin, s = _margin(w0, w, v, terms, ends)
-        g = (_sigmoid(margin) - y) * share
+        s = x.sums(v)
+        g = (_sigmoid(w0 + x.sums(w) + 0.5 * ((s**2).sum(1) - x.sums((v**2).sum(1)))) - y) * share
         w0 -= 2 * g.sum()
-        gr = g[rows]
-        gw = np.bincount(terms, gr, len(w))
-        gv = np.stack([np.bincount(terms, gr * s[rows, f], len(w)) for f in range(FACTORS)], 1) - v * gw[:, None] + L2 / n * v
+        gw = x.back(g)
+        gv = x.back(g[:, None] * s) - v * gw[:, None] + L2 / n * v
         for k, grad in enumerate((gw, gv)):
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad * grad
@@ -183,8 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[np.isin(t, some)] for t in (x.values.to_numpy() for x in b.column(1))], pa.list_(pa.int32()))], names=["label", "terms"])
 
     got = rows.mapInArrow(kept, rows.schema).toArrow()
-    labels_, lists = got.column(0).to_numpy(), [x.values.to_numpy().astype(np.int64) for x in got.column(1)]
-    order = sorted(range(len(lists)), key=lambda i: (labels_[i], len(lists[i]), lists[i].tobytes()))  # whatever the partitions
+    labels_, lists = got.column(0).to_numpy(), [x.values.to_numpy() for x in got.column(1)]  # 32-bit, not copied
+    order = sorted(range(len(lists)), key=lambda i: (labels_[i], len(lists[i]), crc32(lists[i])))  # whatever the partitions
     y, lists = labels_[order], [lists[i] for i in order]
     chosen = np.union1d(alone, interacting(lists, y, paired))
     return fit(lists, y, np.array([stands_for.get(int(k), 1.0) for k in y]), chosen)

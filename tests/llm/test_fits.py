@@ -31,7 +31,8 @@ def test_an_interaction_without_single_effects(spark, monkeypatch, rule):
     fit = toxicity.fit
 
     def additive(*args):
-        monkeypatch.setattr(toxicity, "_sums", lambda values, ends, f=toxicity._sums: f(values if values.ndim == 1 else 0 * values, ends))
+        sums = toxicity.Incidence.sums
+        monkeypatch.setattr(toxicity.Incidence, "sums", lambda self, values: sums(self, values) if values.ndim == 1 else np.zeros((self.n, values.shape[1])))
         m = fit(*args)
         monkeypatch.undo()
         return toxicity.Model(m.w0, m.terms, m.w, 0 * m.v)
@@ -142,3 +143,15 @@ def test_margins_against_brute_force():
     lists = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(300)]
     y = np.array([int((1 in x) != (4 in x)) for x in lists])
     assert toxicity.interacting(lists, y, np.arange(6)).tolist() == [1, 4]
+
+
+def test_incidence_against_a_matrix():
+    """Terms of many texts and of few, and none at all of either sort."""
+    rng = np.random.default_rng(4)
+    for often in (0.0, 0.4, 1.0):
+        full = rng.random((300, 12)) < np.where(np.arange(12) < often * 12, 0.5, 0.01)
+        rows, terms = np.nonzero(full)
+        x = toxicity.Incidence(terms, rows, 300, 12)
+        v, g = rng.normal(size=(12, 3)), rng.normal(size=(300, 3))
+        for got, want in ((x.sums(v), full @ v), (x.sums(v[:, 0]), full @ v[:, 0]), (x.back(g), full.T @ g), (x.back(g[:, 0]), full.T @ g[:, 0])):
+            assert np.abs(got - want).max() < 1e-4
