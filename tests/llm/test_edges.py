@@ -1,12 +1,14 @@
 """Every operator over nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from llm_fixtures import CLASHING, crc
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, exact_dedup, language, quality, sentencepiece_fst, sharding, simhash_dedup, token_count, toxicity, url_filter
+from docloom.functions.scratch import scratch_dir
+from docloom.llm import common, decontamination, exact_dedup, language, quality, sentencepiece_fst, sharding, simhash_dedup, token_count, toxicity, url_filter
 from docloom.llm.common import tokenizer_path
 
 PIECES, BPE = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.json")
@@ -115,3 +117,13 @@ def test_rows_without_an_id_spread_over_slot_buckets(spark):
     spread = spark.createDataFrame([tuple(r[c] for c in names) for r in got if r["doc_id"] is None], "doc_id bigint, size bigint, text_crc32 bigint, shard int, grown_shard int")
     assert spread.select(F.pmod(F.xxhash64(*names), F.lit(sharding.SLOT_BUCKETS)).alias("b")).distinct().count() > 500
     assert (2**52 - 1 + 0.5) * 2.0**-52 < 1
+
+
+@pytest.mark.parametrize("of", [common.shared_dir, lambda s: scratch_dir(s, "x")])
+def test_no_folder_of_one_machine_on_a_cluster(of):
+    session = lambda master, at=None: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: at), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    for master in ("spark://a:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            of(session(master))
+        assert of(session(master, "/shared")).startswith("/shared")
+    assert of(session("local[4]"))
