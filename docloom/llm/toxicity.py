@@ -191,15 +191,19 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "t
     alone = [r[0] for r in terms.filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).select("term").collect()]
     paired = [r[0] for r in terms.orderBy(F.desc(F.least(F.col("n"), F.lit(n) - F.col("n"))), "term").limit(PAIR_TERMS).select("term").collect()]
     alone, paired = (np.array(sorted(x), np.int64) for x in (alone, paired))
-    shared = docs.sparkSession.sparkContext.broadcast(np.union1d(alone, paired))
+    some = np.union1d(alone, paired)  # fewer than 65536, so two bytes say which
+    shared = docs.sparkSession.sparkContext.broadcast(some)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = shared.value
+        own = shared.value
+        place = np.full(BUCKETS, -1, np.int32)
+        place[own] = np.arange(len(own))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[np.isin(t, some)] for t in (x.values.to_numpy() for x in b.column(1))], pa.list_(pa.int32()))], names=["label", "terms"])
+            at = (place[x.values.to_numpy()] for x in b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[x >= 0].astype(np.uint16).tobytes() for x in at], pa.binary())], names=["label", "places"])
 
-    got = rows.mapInArrow(kept, rows.schema).toArrow()
-    labels_, lists = got.column(0).to_numpy(), [x.values.to_numpy() for x in got.column(1)]  # 32-bit, not copied
+    got = rows.mapInArrow(kept, "label int, places binary").toArrow()
+    labels_, lists = got.column(0).to_numpy(), [some[np.frombuffer(x.as_py(), np.uint16)].astype(np.int32) for x in got.column(1)]
     order = sorted(range(len(lists)), key=lambda i: (labels_[i], len(lists[i]), crc32(lists[i])))  # whatever the partitions
     y, lists = labels_[order], [lists[i] for i in order]
     chosen = np.union1d(alone, interacting(lists, y, paired))
