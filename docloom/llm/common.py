@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,36 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed; Arrow's pool and the C heap would keep it for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function for mapInArrow or mapInPandas, that gives memory back between batches and at its end.
+
+    Workers are used again by the operators behind this one, and what they keep adds to what those and the JVM need.
+    """
+
+    def each(batches: Iterator) -> Iterator:
+        for b in batches:
+            yield b
+            del b
+            give_back()
+
+    def to_end(batches: Iterator) -> Iterator:
+        try:
+            yield from run(each(batches))
+        finally:
+            gc.collect()
+            give_back()
+
+    return to_end
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary files are; the folder must be there on every node, or be another one by DOCLOOM_TOKENIZERS."""
     folder = os.environ.get("DOCLOOM_TOKENIZERS", "/opt/tokenizers")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bit_slices import linked_roots
-from .common import discard, lookup, written
+from .common import discard, lean, lookup, written
 
 #: Up to so many edges (16 MB of them) are joined in one task.
 FEW_EDGES = 1_000_000
@@ -28,7 +28,7 @@ def components(edges: DataFrame, most_rounds: int = 100, few: int = FEW_EDGES) -
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc-edges")
     n = now.count()
     if n <= few:
-        return now.coalesce(1).mapInPandas(_joined, "node bigint, root bigint")
+        return now.coalesce(1).mapInPandas(lean(_joined), "node bigint, root bigint")
     before = None
     for _ in range(most_rounds):
         large = _linked(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)

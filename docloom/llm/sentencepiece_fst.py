@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 SPACE = "▁"
 #: Units that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
 PAIRS = 500_000
+#: Texts whose ids are held at a time.
+ROWS = 1000
 INF = float("inf")
 
 
@@ -412,30 +416,20 @@ class Transducer:
         return out[1:] if self.normaliser.prefix else out
 
 
-_kept: dict[str, Transducer] = {}
-
-
-def loaded(path: str) -> Transducer:
-    """The transducer of a file, compiled once a worker and kept over tasks."""
-    if path not in _kept:
-        _kept.clear()
-        _kept[path] = Transducer(path)
-    return _kept[path]
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, token_ids, decoded_crc32, round_trip.
 
     Ids are those of the library, without begin and end tokens.  token_ids is decoded again; decoded_crc32 is the crc32 of
     that text in UTF-8, round_trip whether it is the input (a literal U+2581 comes back as a space, so it is false for
-    texts with one, and for texts that the model's normaliser changes).  Null and empty texts have no tokens and come back empty.  Rows are independent; a worker holds one
-    batch of texts and at most REMEMBERED units and PAIRS pairs.
+    texts with one, and for texts that the model's normaliser changes).  Null and empty texts have no tokens and come back empty.  Rows are
+    independent; a task holds one batch of texts, the ids of ROWS and at most twice REMEMBERED units and PAIRS pairs, and
+    leaves none of them in its worker.
     """
     from zlib import crc32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = loaded(path)
-        for b in batches:
+        t = Transducer(path)  # some 0.2 s a task; a kept one would fill its worker while other operators run there
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids, crcs, same = [], [], []
             for x in b.column(1):
                 text = x.as_py() or ""
@@ -450,4 +444,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists, pa.array(crcs, pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "token_ids", "decoded_crc32", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, token_ids array<int>, decoded_crc32 bigint, round_trip boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_tokens bigint, token_ids array<int>, decoded_crc32 bigint, round_trip boolean")

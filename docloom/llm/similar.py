@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
 from .bit_slices import linked_roots, sliced_links, votes
-from .common import discard, small, text_key, written
+from .common import discard, lean, small, text_key, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -81,7 +81,7 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     bound = math.ceil(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 30))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", text_key()), F.lit(1 << 30)) < bound).select(F.col("text").cast("string").alias("text"))
-    counts = sample.mapInArrow(run, "h bigint").groupBy("h").count().filter(F.col("count") >= COMMON_FROM)
+    counts = sample.mapInArrow(lean(run), "h bigint").groupBy("h").count().filter(F.col("count") >= COMMON_FROM)
     top = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()
     at = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
     return top["h"].to_numpy(np.int64).view(np.uint64)[at], top["count"].to_numpy(np.int64)[at]
@@ -122,7 +122,7 @@ def prefixes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key().alias("t"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, t bigint, fp bigint, sim bigint, size int, least int, prefix array<bigint>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, t bigint, fp bigint, sim bigint, size int, least int, prefix array<bigint>")
 
 
 def by_bucket(of):
@@ -141,7 +141,7 @@ def by_bucket(of):
         if held is not None and len(held):
             yield from of(held)
 
-    return run
+    return lean(run)
 
 
 def close_pairs(pdf: pd.DataFrame, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -264,7 +264,7 @@ def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int = S
 
     wanted = written(rows.join(placed.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("t").alias("t")), "similar-texts")
     texts = docs.select(text_key().alias("t"), F.col("text").cast("string").alias("text")).join(small(wanted, wanted.count()), "t").select("fp", "text")
-    sets = written(texts.mapInArrow(cut, "fp bigint, own binary").groupBy("fp").agg(F.first("own").alias("own")), "similar-sets")
+    sets = written(texts.mapInArrow(lean(cut), "fp bigint, own binary").groupBy("fp").agg(F.first("own").alias("own")), "similar-sets")
     members = met.select("bucket", F.col("a").alias("fp")).union(met.select("bucket", F.col("b").alias("fp"))).distinct().join(sets, "fp")
     every = met.select("bucket", "a", "b", F.lit(None).cast("binary").alias("own")).union(members.select("bucket", "fp", F.col("fp").alias("b"), "own"))
     return every.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(by_bucket(check), "a bigint, b bigint")
