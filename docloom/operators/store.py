@@ -181,7 +181,7 @@ class DocStore:
     def insert(self, name: str, rows: DataFrame, id_col: str = "_id", doc: str = "doc", order: str | None = None) -> LoadResult:
         """Stores rows as they come, ids that are there already included; a keyed get then finds the latest."""
         own = rows.select(F.lit(name).alias("table_name"), F.col(id_col).alias("id"), F.col(doc).alias("data"), *([F.col(order).alias("position")] if order else []))
-        return self.bulk_load(own, order="position" if order else None, if_absent=False)
+        return self._bulk_load(own, "position" if order else None, False, names=[name])
 
     def bulk_load(self, rows: DataFrame, order: str | None = None, if_absent: bool = True, tries: int = 5, file_rows: int = FILE_ROWS) -> LoadResult:
         """Loads (table_name, id, data) rows into their tables, made where needed, in one commit.
@@ -195,22 +195,26 @@ class DocStore:
         table changes between that reading and the commit, the load is made again on the changed table, tries times at most.
         Stored indexes of the tables get the new rows' entries in the same commit.
         """
+        return self._bulk_load(rows, order, if_absent, tries, file_rows)
+
+    def _bulk_load(self, rows: DataFrame, order: str | None, if_absent: bool, tries: int = 5, file_rows: int = FILE_ROWS, names: list | None = None) -> LoadResult:
+        """names: the tables that the rows name, where that is known without a pass over them."""
         kind = rows.schema["data"].dataType.typeName()
         text_in = kind == "string"
         doc = F.try_parse_json("data") if text_in else F.col("data") if kind == "variant" else F.parse_json(F.to_json("data"))
         pos = F.col(order).cast("long") if order else F.shiftrightunsigned(F.xxhash64(F.col("data") if text_in else F.to_json("data")), 64 - POSITION_BITS)
         rows = rows.select("table_name", F.col("id").cast("string").alias("_id"), doc.alias("doc"), (F.col("data") if text_in else F.to_json("data")).alias("text"), pos.alias("pos"))
-        reason = (
-            F.when(F.col("_id").isNull(), "no id")
-            .when(F.col("table_name").isNull() | (F.char_length("table_name") < 2), "a table name has two characters at least")
-            .when(F.col("text").isNotNull() & F.col("doc").isNull(), "malformed JSON")
-            .when((F.col("pos") < 0) | (F.col("pos") >= 1 << POSITION_BITS), "position out of range")
-        )
+        reason = F.when(F.col("_id").isNull(), "no id").when(F.col("table_name").isNull() | (F.char_length("table_name") < 2), "a table name has two characters at least")
+        if text_in:  # what isn't text is JSON; to test it too would make each document once more
+            reason = reason.when(F.col("text").isNotNull() & F.col("doc").isNull(), "malformed JSON")
+        if order:
+            reason = reason.when((F.col("pos") < 0) | (F.col("pos") >= 1 << POSITION_BITS), "position out of range")
         marked = rows.withColumn("reason", reason)
         rejected = marked.filter(F.col("reason").isNotNull()).select("table_name", F.col("_id").alias("id"), F.col("text").alias("data"), "reason")
         good = marked.filter(F.col("reason").isNull())
 
-        names = [r[0] for r in rows.select("table_name").distinct().collect()]
+        if names is None:
+            names = [r[0] for r in rows.select("table_name").distinct().collect()]
         for left in reversed(range(tries)):
             try:
                 load, inserted = self._load(good, names, if_absent, file_rows)

@@ -308,3 +308,21 @@ def test_closing_leaves_the_session_alone(people, spark):
     people.close()
     assert kept.storageLevel.useMemory and people.tables() == ["v_P"]
     kept.unpersist()
+
+
+def test_insert_makes_each_document_once(store, spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return json.dumps({"n": i})
+
+    source = spark.range(40).select(F.col("id").cast("string").alias("_id"), F.parse_json(text("id")).alias("doc"))
+    assert store.insert("v_P", source).inserted == 40 and made.value == 40
+    made.value = 0
+    loaded = store.bulk_load(source.select(F.lit("v_P").alias("table_name"), F.col("_id").alias("id"), F.struct("doc").alias("data")))
+    assert loaded.inserted == 0 and made.value <= 40
+    made.value = 0
+    store.insert("v_P", source.filter(F.variant_get("doc", "$.n", "int") < 0))  # once by the filter; no pass for the table's name
+    assert made.value == 40 and store.load_count("v_P") == 1
