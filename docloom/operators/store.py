@@ -23,8 +23,8 @@ POSITION_BITS = 40
 DELETED_RATIO, MOST_LOADS = 0.2, 32
 #: Rows a file at most; where rows are shuffled before they are written, files also get Spark's advisory partition size.
 FILE_ROWS = 4_000_000
-#: An anti join broadcasts the keys of a table up to this many bytes of files.
-SMALL_BYTES = 8 << 20
+#: An anti join broadcasts the ids of tables up to this many rows and bytes of files; ids in sequence take next to no bytes there.
+SMALL_ROWS, SMALL_BYTES = 500_000, 8 << 20
 
 
 class TableNotFound(KeyError):
@@ -228,14 +228,15 @@ class DocStore:
         """One try of a load: its number and how many rows it stored."""
         tables = self.state()["tables"]
         seen = {n: tables[n] for n in names if n in tables}
-        have, size = None, 0
+        have, stored = None, []
         for n, info in seen.items():
             if if_absent and info["loads"]:
                 own = self._rows(info).select(F.lit(n).alias("table_name"), "_id")
                 have = own if have is None else have.unionByName(own)
-                size += sum(self.files.size(self.files.at(p)) for p in info["loads"])
+                stored += info["loads"]
         if have is not None:
-            good = good.join(F.broadcast(have) if size <= SMALL_BYTES else have, ["table_name", "_id"], "left_anti")
+            # merge: else the planner, which goes by the files' bytes, broadcasts too; a merge spills what a task can't hold
+            good = good.join(have.hint("broadcast" if self._is_small(stored) else "merge"), ["table_name", "_id"], "left_anti")
         load = self._change(_next_load)
         path = f"loads/{load:08d}-{uuid.uuid4().hex[:8]}"
         seq = F.lit(load << POSITION_BITS).cast("long") + F.coalesce("pos", F.lit(0))
@@ -265,6 +266,10 @@ class DocStore:
             raise
         return load, sum(c for _, _, c in counts)
 
+    def _is_small(self, loads: list[str]) -> bool:
+        """Whether a task can hold the ids of all rows of some loads; rows are counted by the files' footers."""
+        return sum(self.files.size(self.files.at(p)) for p in loads) <= SMALL_BYTES and self._read(loads).count() <= SMALL_ROWS
+
     def _partition_counts(self, path: str) -> list[tuple[str, str, int]]:
         """(table, folder, rows) of a load; as many rows as there are tables come to the driver."""
         at = self.files.at(path)

@@ -326,3 +326,24 @@ def test_insert_makes_each_document_once(store, spark):
     made.value = 0
     store.insert("v_P", source.filter(F.variant_get("doc", "$.n", "int") < 0))  # once by the filter; no pass for the table's name
     assert made.value == 40 and store.load_count("v_P") == 1
+
+
+def test_many_ids_in_small_files_are_not_broadcast(store, spark):
+    runs = spark._jsparkSession.sharedState().statusStore()
+
+    def anti_joins(load):
+        seen = runs.executionsCount()
+        load()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        plans = [runs.executionsList().apply(i).physicalPlanDescription() for i in range(seen, runs.executionsCount())]
+        return {how for how in ("BroadcastHashJoin LeftAnti", "SortMergeJoin LeftAnti") for p in plans if how in p}
+
+    def some(n, origin):
+        return spark.range(n).select(F.lit("v_P").alias("table_name"), F.col("id"), F.lit(json.dumps({"origin": origin})).alias("data"))
+
+    store.bulk_load(some(1000, "old"))
+    assert anti_joins(lambda: store.bulk_load(some(600_000, "new"))) == {"BroadcastHashJoin LeftAnti"}
+    assert sum(store.files.size(store.files.at(p)) for p in store.state()["tables"]["v_P"]["loads"]) < 8 << 20
+    assert anti_joins(lambda: store.bulk_load(some(600_010, "late"))) == {"SortMergeJoin LeftAnti"}
+    got = store.table("v_P").scan().groupBy(F.variant_get("doc", "$.origin", "string")).count().collect()
+    assert {tuple(r) for r in got} == {("old", 1000), ("new", 599_000), ("late", 10)}
